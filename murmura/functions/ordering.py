@@ -111,30 +111,33 @@ def affine_scan(
     keys: Sequence[str],
     pos: str,
     maps: dict[str, tuple[Column, Column]],
-    chunk: int = 256,
-    levels: int = 2,
+    positions: int,
+    chunk: int = 1024,
 ) -> DataFrame:
     """Running fold ``s[t] = a[t] * s[t-1] + b[t]`` per key, starting from 0.
 
     ``maps`` names each state and gives its (a, b); states are doubles. ``pos`` is an
-    integer position, and a row whose predecessor position is missing must have a = 0.
+    integer position from 0 up to less than ``positions``, and a row whose predecessor
+    position is missing must have a = 0.
     Positions are cut into chunks of bounded length, each folded in one array; the
     composed maps of whole chunks are folded the same way one level up, and the carry
     comes back by an equi-join, so a key with most of the rows is spread over tasks.
     """
     names = list(maps)
-    rows = df.withColumn("__chunk", F.floor(F.col(pos) / F.lit(chunk)).cast("bigint"))
+    chunks = -(-positions // chunk)
+    slot = f"__chunk_of_{chunks}"
+    rows = df.withColumn(slot, F.floor(F.col(pos) / F.lit(chunk)).cast("bigint"))
     payload = F.struct(
         F.col(pos).alias("__p"),
         *[maps[n][0].cast("double").alias(f"a_{n}") for n in names],
         *[maps[n][1].cast("double").alias(f"b_{n}") for n in names],
         F.struct(*[c for c in df.columns if c not in (*keys, pos)]).alias("__row"),
     )
-    grouped = rows.groupBy(*keys, "__chunk").agg(F.sort_array(F.collect_list(payload)).alias("__rows"))
+    grouped = rows.groupBy(*keys, slot).agg(F.sort_array(F.collect_list(payload)).alias("__rows"))
 
     # An empty typed array to append to, and the identity map to start from.
     state_fields = [f"a_{n}" for n in names] + [f"b_{n}" for n in names]
-    state_type = "array<struct<" + ",".join(f"{f}:double" for f in state_fields) + ">"
+    state_type = "array<struct<" + ",".join(f"{f}:double" for f in state_fields) + ">>"
 
     def compose(acc: Column, row: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -150,19 +153,19 @@ def affine_scan(
     folded = grouped.withColumn(
         "__prefix", F.aggregate("__rows", F.array().cast(state_type), compose)
     )
-    if levels > 0:
+    if chunks > 1:
         last = F.element_at("__prefix", -1)
         tops = folded.select(
-            *keys, "__chunk", *[last[f].alias(f) for f in state_fields]
+            *keys, slot, *[last[f].alias(f) for f in state_fields]
         )
         carried = affine_scan(
-            tops, keys, "__chunk",
-            {n: (F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names}, chunk, levels - 1,
+            tops, keys, slot,
+            {n: (F.col(f"a_{n}"), F.col(f"b_{n}")) for n in names}, chunks, chunk,
         ).select(
-            *keys, (F.col("__chunk") + 1).alias("__chunk"),
+            *keys, (F.col(slot) + 1).alias(slot),
             *[F.col(n).alias(f"__carry_{n}") for n in names],
         )
-        folded = folded.join(carried, [*keys, "__chunk"], "left")
+        folded = folded.join(carried, [*keys, slot], "left")
     else:
         folded = folded.withColumns({f"__carry_{n}": F.lit(0.0) for n in names})
 

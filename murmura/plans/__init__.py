@@ -6,7 +6,7 @@ from importlib import import_module
 
 from murmura.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("quality",)
+_MODULES = ("quality", "drift")
 
 
 def _load() -> None:
