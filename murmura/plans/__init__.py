@@ -6,7 +6,7 @@ from importlib import import_module
 
 from murmura.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("quality", "drift")
+_MODULES = ("quality", "drift", "basic")
 
 
 def _load() -> None:
