@@ -29,3 +29,37 @@ def pairwise(left: np.ndarray, right: np.ndarray, metric: str = "euclidean") ->
         else:
             raise ValueError(f"unsupported metric: {metric}, must be one of {METRICS}")
     return np.sqrt(out) if metric == "euclidean" else out
+
+
+def core_of(dist: np.ndarray, k: int) -> np.ndarray:
+    """Distance to the k-th neighbour of each row of a full block, the row itself not counted."""
+    rank = min(k, len(dist) - 1)
+    return np.partition(dist, rank, axis=1)[:, rank]
+
+
+def spanning_edges(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree of a full weight matrix as (a, b, w), a < b.
+
+    ``ids`` is sorted. Equal weights are ordered by (a, b), which makes the tree unique.
+    """
+    n = len(ids)
+    best = np.full(n, np.inf)
+    rank = np.zeros(n, dtype=np.int64)
+    parent = np.zeros(n, dtype=np.int64)
+    open_ = np.ones(n, dtype=bool)
+    spot = np.arange(n)
+    left, right, cost = [], [], []
+    current = 0
+    for _ in range(n - 1):
+        open_[current] = False
+        edge = np.minimum(spot, current) * n + np.maximum(spot, current)
+        row = weights[current]
+        nearer = open_ & ((row < best) | ((row == best) & (edge < rank)))
+        best[nearer], rank[nearer], parent[nearer] = row[nearer], edge[nearer], current
+        least = best[open_].min()
+        ties = np.flatnonzero(open_ & (best == least))
+        current = ties[np.argmin(rank[ties])]
+        left.append(min(parent[current], current))
+        right.append(max(parent[current], current))
+        cost.append(least)
+    return ids[np.array(left, dtype=int)], ids[np.array(right, dtype=int)], np.array(cost, dtype=float)
