@@ -222,7 +222,7 @@ def _folded_trees(
         done = cut_lineage(now.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(fold, out))
         alias = done.where("kind = 'alias'").select(*keys, "id", "ref")
         kept = states.join(touched, [*keys, "id"], "left_anti")
-        states = cut_lineage(kept.unionByName(done.where("kind = 'state'")))
+        states = cut_lineage(kept.unionByName(done.where("kind = 'state'")).repartition(*keys, "id"))
         homes = _grown(homes, done.where("kind = 'home'").select(*keys, F.col("id").alias("pt_id"), "cluster"))
         clusters = _grown(clusters, done.where("kind = 'cluster'").select(*keys, "cluster", "parent", "chosen"))
         rest = live.where(F.col("part") > part)
