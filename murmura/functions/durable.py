@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set.
+
+    Only in local mode, where neither may be set, a folder of our own is used.
+    """
+    global _local_folder
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="murmura-")
+    return _local_folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder of ``spark.checkpoint.dir``.
+    """The same rows, read back from a table written once.
 
-    The cluster names a shared folder there. Only where nothing is configured (tests,
-    local mode) a folder of our own is set.
+    A lost executor costs reading a file again, not the rounds before; the optimizer sees the
+    true size, so it broadcasts only what is small.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="murmura-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = new_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -120,7 +120,9 @@ class OnlineClusterer:
 
     def update(self, state: DataFrame, batch: DataFrame) -> DataFrame:
         cfg, keys = self.config, self.keys
-        clock = self._clock(state, batch)
+        # Two small tables are written: the clocks, and the sums of the batch. All that follows
+        # works on them and the state, so the batch is read for nothing else.
+        clock = cut_lineage(self._clock(state, batch))
         arrived = batch.select(
             *keys, "pt_id", "features", *(["t"] if "t" in batch.columns else [])
         )
@@ -140,7 +142,7 @@ class OnlineClusterer:
         )
 
         faded = self._faded(state, clock)
-        pieces = self._pieces(points.where("ready"), faded)
+        pieces = cut_lineage(self._pieces(points.where("ready"), faded))
         kept, rest = self._rings(pieces, faded)
         grown = self._grown(faded, kept)
         founded = self._founded(rest)

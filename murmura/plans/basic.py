@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from murmura.functions import scalar as S
 from murmura.functions import vector as V
+from murmura.functions.durable import new_path
 from murmura.operators import history as H
 from murmura.operators import points as P
 from murmura.operators import validate as R
@@ -26,19 +24,11 @@ from murmura.sources.trips import read_trips, trip_batches, trip_cluster_points
 UTC_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder for files a query writes and reads back: shared storage where configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"murmura-{name}-")
-    return os.path.join(base, f"murmura-{name}-{os.urandom(6).hex()}")
-
-
 # --- trips ---------------------------------------------------------------------------------
 
 @query("trip_csv")
 def _trip_csv(spark, sf):
-    path = scratch(spark, "csv") + "/trips.csv"
+    path = new_path(spark, "csv") + "/trips.csv"
     trips(spark, sf).drop("trip_id").write.option("header", True).option(
         "timestampFormat", UTC_TEXT
     ).csv(path)
@@ -47,7 +37,7 @@ def _trip_csv(spark, sf):
 
 @query("trip_load", f"WITH {TRIPS} SELECT epoch_us(tpep_pickup_datetime) AS pickup_us, round(pickup_longitude, 6) AS lon, round(pickup_latitude, 6) AS lat, trip_distance, total_amount FROM trips")
 def _trip_load(spark, sf):
-    path = scratch(spark, "trips") + "/trips.parquet"
+    path = new_path(spark, "trips") + "/trips.parquet"
     trips(spark, sf).write.parquet(path)
     loaded = read_trips(spark, path)
     return loaded.select(
@@ -297,7 +287,7 @@ def _recent_logs(spark, sf):
 
 @query("log_read")
 def _log_read(spark, sf):
-    path = scratch(spark, "logs")
+    path = new_path(spark, "logs")
     line = F.to_json(F.struct(
         F.lit("line").alias("text"),
         F.struct(

@@ -118,7 +118,7 @@ def _mc_prune(spark, sf):
     return later.where(clusterer.prune_rule(F.col("t_last"))).select("batch_id", "mc_id", "status", r6("w"))
 
 
-def _stream(spark, sf, slices: int = 10):
+def _stream(spark, sf, slices: int = 4):
     """All events as one stream, cut into ``slices`` mini-batches of equal size."""
     points = event_points(spark, sf)
     size = max(BATCH, -(-points.count() // slices))
