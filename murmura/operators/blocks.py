@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2048
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows hashed by ``keys`` over a fixed number of tasks.
+
+    Block work is quadratic in the rows, so a task is heavy long before it is big. A fixed
+    number keeps adaptive execution from merging such tasks by their bytes, and the grouping
+    that follows needs no other shuffle.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def hashed_block(id_column: str, blocks: str):
     return F.pmod(F.xxhash64(id_column), F.col(blocks)).cast("int")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.operators.blocks import BLOCK_ROWS, one_against_all, unordered_pairs
+from murmura.operators.blocks import BLOCK_ROWS, dealt, one_against_all, unordered_pairs
 from murmura.operators.components import components, spanning_forest
 from murmura.operators.hierarchy import label_forest, tree_labels
 from murmura.operators.kernels import METRICS, core_of, matrix, pairwise, spanning_edges
@@ -97,14 +97,14 @@ def neighbours(
         return frame[np.isfinite(frame["distance"])][names]
 
     if _fits(group_bound, block_rows):
-        return rows.groupBy(*keys).applyInPandas(lambda pdf: nearest(pdf, pdf), out)
+        return dealt(rows, keys).groupBy(*keys).applyInPandas(lambda pdf: nearest(pdf, pdf), out)
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, targets = pdf[~pdf["is_target"]], pdf[pdf["is_target"]]
         return pd.DataFrame(columns=names) if asked.empty or targets.empty else nearest(asked, targets)
 
     spread = one_against_all(rows, keys, block_rows)
-    local = spread.groupBy(*keys, "block", "other").applyInPandas(part, out)
+    local = dealt(spread, [*keys, "block", "other"]).groupBy(*keys, "block", "other").applyInPandas(part, out)
     best = local.groupBy(*keys, "pt_id").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("__best")
     )
@@ -132,7 +132,7 @@ def core_distances(
             np.fill_diagonal(dist, 0.0)
             return pdf[[*keys, "pt_id"]].assign(core=core_of(dist, k))
 
-        return rows.groupBy(*keys).applyInPandas(whole, out)
+        return dealt(rows, keys).groupBy(*keys).applyInPandas(whole, out)
     near = neighbours(rows, keys, k, metric, None, block_rows)
     core = near.groupBy(*keys, "pt_id").agg(F.max("distance").alias("core"))
     return rows.select(*keys, "pt_id").join(core, [*keys, "pt_id"], "left").withColumn(
@@ -192,7 +192,7 @@ def mst_edges(
         return frame[out.fieldNames()]
 
     if _fits(group_bound, block_rows):
-        return rows.groupBy(*keys).applyInPandas(lambda pdf: tree(pdf.sort_values("pt_id"), None), out)
+        return dealt(rows, keys).groupBy(*keys).applyInPandas(lambda pdf: tree(pdf.sort_values("pt_id"), None), out)
 
     if k > 0:
         core = core_distances(rows, keys, k, metric, None, block_rows)
@@ -205,7 +205,7 @@ def mst_edges(
         return tree(pdf, pdf["core"].to_numpy())
 
     pairs = unordered_pairs(rows, keys, block_rows)
-    local = pairs.groupBy(*keys, "block", "other").applyInPandas(part, out).distinct()
+    local = dealt(pairs, [*keys, "block", "other"]).groupBy(*keys, "block", "other").applyInPandas(part, out).distinct()
     return spanning_forest(local, keys)
 
 
@@ -275,7 +275,7 @@ def offline_cluster(
             labels = tree_labels(ids.tolist(), tree, min_cluster_size, cluster_selection_method)
             return pdf[[*keys, "pt_id"]].assign(label=labels)
 
-        return rows.groupBy(*keys).applyInPandas(whole, out)
+        return dealt(rows, keys).groupBy(*keys).applyInPandas(whole, out)
 
     edges = mst_edges(rows, keys, k, metric, None, block_rows)
     return label_forest(rows, edges, keys, min_cluster_size, cluster_selection_method)

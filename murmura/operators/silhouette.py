@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.operators.blocks import BLOCK_ROWS, hashed_block
+from murmura.operators.blocks import BLOCK_ROWS, dealt, hashed_block
 from murmura.operators.kernels import matrix, pairwise
 from murmura.schema import NOISE
 
@@ -81,7 +81,7 @@ def silhouette_samples(
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return _distance_sums(pdf, pdf, False, keys, names)
 
-        merged = scored.groupBy(*keys).applyInPandas(whole, out)
+        merged = dealt(scored, keys).groupBy(*keys).applyInPandas(whole, out)
     else:
 
         def part(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +91,7 @@ def silhouette_samples(
             return _distance_sums(asked, targets, bool(pdf["split"].iloc[0]), keys, names)
 
         spread = _spread(scored, keys, block_rows)
-        sums = spread.groupBy(*keys, "block", "target").applyInPandas(part, out)
+        sums = dealt(spread, [*keys, "block", "target"]).groupBy(*keys, "block", "target").applyInPandas(part, out)
         merged = _merge(sums, keys)
 
     own = F.col("own_sum") / (F.col("own_cnt") - 1)
