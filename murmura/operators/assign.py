@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmura.functions.vector import distance
+from murmura.functions.vector import distance, v_add, v_norm
 from murmura.schema import NOISE
 
 CENTRES = 1024
@@ -100,10 +100,13 @@ def nearest_centroid(
     )
 
 
-def merged_radius(w: Column, r2: Column, d: Column) -> Column:
-    """RMS radius of a micro-cluster (weight w, squared radius r2) after a unit point at distance d."""
-    grown = w + 1
-    return F.sqrt(w / grown * r2 + w / (grown * grown) * d * d)
+def squared_radius(w: Column, cf1: Column, cf2: Column) -> Column:
+    """Squared radius of a micro-cluster, |CF2| / w - (|CF1| / w) ** 2 with vector lengths, at least 0.
+
+    This is the published form the reference uses. It never exceeds the mean squared distance
+    to the centre.
+    """
+    return F.greatest(v_norm(cf2) / w - (v_norm(cf1) / w) * (v_norm(cf1) / w), F.lit(0.0))
 
 
 def absorb(
@@ -116,21 +119,22 @@ def absorb(
 ) -> DataFrame:
     """Points with the micro-cluster that takes them: ``mc_id``, ``distance``, or NULLs.
 
-    ``state`` has keys, mc_id, status ('p' or 'o'), w, centre, r2. The nearest 'p' takes the
+    ``state`` has keys, mc_id, status ('p' or 'o'), w, cf1, cf2. The nearest 'p' takes the
     point if its radius stays within ``epsilon``, else the nearest 'o' under the same test.
     """
     keys = list(keys)
     if bound is None:
         bound = largest_group(state, keys)
     bare = points.drop("mc_id", "distance")
-    joined = beside(bare, state, keys, ["mc_id", "status", "w", "centre", "r2"], max(1, bound))
+    placed = state.withColumn("centre", F.transform("cf1", lambda v: v / F.col("w")))
+    joined = beside(bare, placed, keys, ["mc_id", "status", "centre", "w", "cf1", "cf2"], max(1, bound))
 
     def nearest(status: str) -> Column:
         return F.array_min(F.transform(
             F.filter("centres", lambda c: c["status"] == status),
             lambda c: F.struct(
                 distance(F.col("features"), c["centre"], dims).alias("d"),
-                c["mc_id"].alias("mc_id"), c["w"].alias("w"), c["r2"].alias("r2"),
+                c["mc_id"].alias("mc_id"), c["w"].alias("w"), c["cf1"].alias("cf1"), c["cf2"].alias("cf2"),
             ),
         ))
 
@@ -142,8 +146,12 @@ def absorb(
         ).select(*keys, "pt_id", "__p", "__o", "__rest.*")
 
     def takes(side: str) -> Column:
-        radius = merged_radius(F.col(f"{side}.w"), F.col(f"{side}.r2"), F.col(f"{side}.d"))
-        return F.coalesce(radius <= epsilon, F.lit(False))
+        merged = squared_radius(
+            F.col(f"{side}.w") + 1,
+            v_add(F.col(f"{side}.cf1"), F.col("features")),
+            F.zip_with(F.col(f"{side}.cf2"), F.col("features"), lambda s, v: s + v * v),
+        )
+        return F.coalesce(F.sqrt(merged) <= epsilon, F.lit(False))
 
     taker = F.when(takes("__p"), F.col("__p")).when(takes("__o"), F.col("__o"))
     return found.withColumn("__taker", taker).select(

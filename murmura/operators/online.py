@@ -16,7 +16,8 @@ a batch is one pass over its points:
 2. points are summed per (micro-cluster, distance ring, grid cell), on the map side first;
 3. a micro-cluster takes its rings from the inside out while its radius stays within epsilon;
 4. all other points found an outlier micro-cluster per grid cell of diagonal 2 epsilon, which
-   keeps its radius within epsilon; it is named by its first point;
+   keeps its radius within epsilon; it is named by its first point. The warm-up ends the same
+   way: the points held back found the first micro-clusters;
 5. outliers heavy enough are promoted, and every pruning period faded ones are dropped.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 
 from murmura.functions.durable import cut_lineage
 from murmura.functions.scalar import decayed_weight, outlier_floor, prune_period
-from murmura.operators.assign import absorb
+from murmura.operators.assign import absorb, squared_radius
 from murmura.operators.components import components
 from murmura.operators.offline import mst_edges
 
@@ -205,7 +206,7 @@ class OnlineClusterer:
     def _pieces(self, points: DataFrame, faded: DataFrame) -> DataFrame:
         """Sums of the points per (micro-cluster, ring, cell); the only pass over the batch."""
         cfg, keys = self.config, self.keys
-        centres = faded.select(*keys, "mc_id", "status", "w", centre().alias("centre"), squared_radius().alias("r2"))
+        centres = faded.select(*keys, "mc_id", "status", "w", "cf1", "cf2")
         taken = absorb(points, centres, cfg.epsilon, keys, self.micro_clusters, self.dims)
         side = 2 * cfg.epsilon / math.sqrt(self.dims)
         f = decayed_weight(F.lit(1.0), F.col("now") - F.col("t"), cfg.decay_factor)
@@ -236,11 +237,9 @@ class OnlineClusterer:
             **{f"S{i}": F.get("c1", F.lit(i)) + F.sum(f"s{i}").over(inside) for i in dims},
             **{f"Q{i}": F.get("c2", F.lit(i)) + F.sum(f"q{i}").over(inside) for i in dims},
         })
-        spread = None
-        for i in dims:
-            part = F.col(f"Q{i}") / F.col("W") - (F.col(f"S{i}") / F.col("W")) * (F.col(f"S{i}") / F.col("W"))
-            spread = part if spread is None else spread + part
-        too_wide = F.max((F.sqrt(F.greatest(spread, F.lit(0.0))) > self.config.epsilon).cast("int")).over(inside)
+        W, S, Q = F.col("W"), F.array(*[F.col(f"S{i}") for i in dims]), F.array(*[F.col(f"Q{i}") for i in dims])
+        radius = F.sqrt(squared_radius(W, S, Q))
+        too_wide = F.max((radius > self.config.epsilon).cast("int")).over(inside)
         verdict = summed.withColumn("out", too_wide).select(*keys, "mc_id", "ring", "out")
         judged = pieces.join(verdict, [*keys, "mc_id", "ring"], "left")
         return judged.where("out = 0").drop("out"), judged.where("out is null or out > 0").drop("out")
@@ -305,13 +304,6 @@ def centre() -> Column:
     return F.transform("cf1", lambda v: v / F.col("w"))
 
 
-def squared_radius() -> Column:
-    """Mean squared distance to the centre, from the sums."""
-    square = F.aggregate("cf2", F.lit(0.0), lambda acc, v: acc + v) / F.col("w")
-    mean = F.aggregate("cf1", F.lit(0.0), lambda acc, v: acc + (v / F.col("w")) * (v / F.col("w")))
-    return F.greatest(square - mean, F.lit(0.0))
-
-
 def to_clusters(faded: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     status = F.when(F.col("status") == "p", "active").otherwise("decayed")
     return faded.select(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from murmura.functions.durable import cut_lineage
 from murmura.functions.ordering import ordered_index
 from murmura.operators import offline as O
-from murmura.operators.assign import absorb, nearest_centroid
+from murmura.operators.assign import absorb, nearest_centroid, squared_radius
 from murmura.operators.online import (
-    OnlineClusterer, OnlineConfig, centre, fade, macro_clusters, run_batches, squared_radius, to_clusters,
+    OnlineClusterer, OnlineConfig, centre, fade, macro_clusters, run_batches, to_clusters,
 )
 from murmura.operators.quality import centroids
 from murmura.plans.quality import r6
@@ -35,31 +35,32 @@ def _nearest_centroid(spark, sf):
     return near.select("batch_id", "pt_id", "label", "mc_id", r6("distance"))
 
 
-# Micro-clusters of the batch before, heavy labels potential, the rest outliers.
+# Micro-clusters of the batch before, two labels potential, the rest outliers.
+ABSORB_EPS = 140.0
 PREVIOUS = """c AS (SELECT batch_id + 1 AS batch_id, label AS mc_id, CASE WHEN label < 2 THEN 'p' ELSE 'o' END AS status,
-  CAST(count(*) AS DOUBLE) AS w, avg(x) AS cx, avg(y) AS cy, greatest(avg(x * x) + avg(y * y) - avg(x) * avg(x) - avg(y) * avg(y), 0) AS r2
+  CAST(count(*) AS DOUBLE) AS w, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS qx, sum(y * y) AS qy
   FROM pts WHERE label <> -1 GROUP BY 1, 2)"""
 
 
 @query("absorb", f"""WITH {PTS}, {PREVIOUS},
-d AS (SELECT p.batch_id, p.pt_id, c.mc_id, c.status, c.w, c.r2, sqrt((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy)) AS d
+d AS (SELECT p.batch_id, p.pt_id, c.mc_id, c.status, sqrt((p.x - sx / w) * (p.x - sx / w) + (p.y - sy / w) * (p.y - sy / w)) AS d,
+        sqrt((qx + x * x) * (qx + x * x) + (qy + y * y) * (qy + y * y)) / (w + 1)
+        - ((sx + x) * (sx + x) + (sy + y) * (sy + y)) / ((w + 1) * (w + 1)) AS r2
       FROM pts p LEFT JOIN c ON p.batch_id = c.batch_id),
-f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, pt_id, status ORDER BY d, mc_id) AS rn,
-      sqrt(w / (w + 1) * r2 + w / ((w + 1) * (w + 1)) * d * d) AS grown FROM d),
-n AS (SELECT batch_id, pt_id, max(CASE WHEN status = 'p' AND grown <= 140 THEN mc_id END) AS p, max(CASE WHEN status = 'o' AND grown <= 140 THEN mc_id END) AS o,
-      max(CASE WHEN status = 'p' AND grown <= 140 THEN d END) AS dp, max(CASE WHEN status = 'o' AND grown <= 140 THEN d END) AS d_o FROM f WHERE rn = 1 GROUP BY 1, 2)
+f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, pt_id, status ORDER BY d, mc_id) AS rn, sqrt(greatest(r2, 0)) <= {ABSORB_EPS} AS fits FROM d),
+n AS (SELECT batch_id, pt_id, max(CASE WHEN status = 'p' AND fits THEN mc_id END) AS p, max(CASE WHEN status = 'o' AND fits THEN mc_id END) AS o,
+      max(CASE WHEN status = 'p' AND fits THEN d END) AS dp, max(CASE WHEN status = 'o' AND fits THEN d END) AS d_o FROM f WHERE rn = 1 GROUP BY 1, 2)
 SELECT batch_id, pt_id, coalesce(p, o) AS mc_id, round(CASE WHEN p IS NOT NULL THEN dp ELSE d_o END, 6) AS distance FROM n""")
 def _absorb(spark, sf):
     points = featured(pts(spark, sf))
-    mean = [F.avg("x"), F.avg("y")]
-    spread = F.avg(F.col("x") * F.col("x")) + F.avg(F.col("y") * F.col("y")) - mean[0] * mean[0] - mean[1] * mean[1]
+    x, y = F.col("x"), F.col("y")
     before = points.where("label <> -1").groupBy(
         (F.col("batch_id") + 1).alias("batch_id"), F.col("label").alias("mc_id")
     ).agg(
-        F.count(F.lit(1)).cast("double").alias("w"), F.array(*mean).alias("centre"),
-        F.greatest(spread, F.lit(0.0)).alias("r2"),
+        F.count(F.lit(1)).cast("double").alias("w"), F.array(F.sum(x), F.sum(y)).alias("cf1"),
+        F.array(F.sum(x * x), F.sum(y * y)).alias("cf2"),
     ).withColumn("status", F.when(F.col("mc_id") < 2, "p").otherwise("o"))
-    taken = absorb(points, before, 140.0, ["batch_id"], bound=LABELS, dims=2)
+    taken = absorb(points, before, ABSORB_EPS, ["batch_id"], bound=LABELS, dims=2)
     return taken.select("batch_id", "pt_id", "mc_id", r6("distance"))
 
 
@@ -83,11 +84,13 @@ def _updated(spark, sf):
 
 
 @query("micro_cluster_update", f"""WITH {UPDATE} SELECT batch_id, mc_id, status, n, round(w, 6) AS w, round(sx / w, 6) AS cx, round(sy / w, 6) AS cy,
-round(sqrt(greatest(qx / w + qy / w - (sx / w) * (sx / w) - (sy / w) * (sy / w), 0)), 4) AS radius, t_created, t_last FROM ms""")
+round(sqrt(greatest(sqrt(qx * qx + qy * qy) / w - (sx * sx + sy * sy) / (w * w), 0)), 4) AS radius, t_created, t_last FROM ms""")
 def _micro_cluster_update(spark, sf):
     _, state = _updated(spark, sf)
     # Columns made from w come first: a select that renames w would lend them the new one.
-    shaped = state.where("status in ('p', 'o')").withColumns({"centre": centre(), "r2": squared_radius()})
+    shaped = state.where("status in ('p', 'o')").withColumns({
+        "centre": centre(), "r2": squared_radius(F.col("w"), F.col("cf1"), F.col("cf2"))
+    })
     return shaped.select(
         "batch_id", "mc_id", "status", "n", r6("w"), F.round(F.get("centre", F.lit(0)), 6).alias("cx"),
         F.round(F.get("centre", F.lit(1)), 6).alias("cy"), F.round(F.sqrt("r2"), 4).alias("radius"),
