@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +39,15 @@ def silhouette(
     return mean_silhouette(scores, keys)
 
 
-def mean_silhouette(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mean_score() -> Column:
+    """Aggregate over the samples of a group."""
     clustered = F.when(F.col("label") != NOISE, F.col("label"))
     usable = (F.min(clustered) < F.max(clustered)) & (F.max("own_cnt") > 1)
-    return scores.groupBy(*keys).agg(
-        F.when(usable, F.avg("silhouette")).alias("silhouette_score")
-    )
+    return F.when(usable, F.avg("silhouette")).alias("silhouette_score")
+
+
+def mean_silhouette(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return scores.groupBy(*keys).agg(mean_score())
 
 
 def silhouette_samples(
@@ -53,13 +56,18 @@ def silhouette_samples(
     noise: str = "exclude",
     group_bound: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    keep_noise: bool = False,
 ) -> DataFrame:
-    """(keys, pt_id, label, own_cnt, silhouette) for every scored point."""
+    """(keys, pt_id, label, own_cnt, silhouette) for every scored point.
+
+    ``keep_noise`` also returns the excluded noise points, without a score, so that counts and
+    scores of a batch can come from one pass.
+    """
     if noise not in NOISE_MODES:
         raise ValueError(f"noise must be one of {NOISE_MODES}, got {noise}")
     keys = list(keys)
     scored = points.select(*keys, "pt_id", "label", "features")
-    if noise == "exclude":
+    if noise == "exclude" and not keep_noise:
         scored = scored.where(F.col("label") != NOISE)
 
     types = {f.name: f.dataType for f in scored.schema.fields}
@@ -79,9 +87,17 @@ def silhouette_samples(
     if group_bound is not None and group_bound <= block_rows:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _distance_sums(pdf, pdf, False, keys, names)
+            lost = (pdf["label"] == NOISE) & (noise == "exclude")
+            kept = pdf[~lost]
+            skipped = pdf.loc[lost, [*keys, "pt_id", "label"]].assign(own_cnt=0).reindex(columns=names)
+            if kept.empty:
+                return skipped
+            sums = _distance_sums(kept, kept, False, keys, names)
+            return pd.concat([sums, skipped]) if keep_noise else sums
 
         merged = dealt(scored, keys).groupBy(*keys).applyInPandas(whole, out)
+    elif keep_noise:
+        raise ValueError("keep_noise needs a group_bound within one block")
     else:
 
         def part(pdf: pd.DataFrame) -> pd.DataFrame:
