@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+ID_SLICES = 256
+
+
 def last_n(df: DataFrame, n: int, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The ``n`` last rows of each key by ``order_by`` (unique within the key).
 
@@ -58,12 +61,13 @@ def trajectories(snapshots: DataFrame, keys: Sequence[str] = (), steps: DataFram
     keys = list(keys)
     present = snapshots.select(*keys, "step").distinct() if steps is None else steps.select(*keys, "step")
     ids = snapshots.select(*keys, "cluster_id").distinct()
-    # Ids are gathered once per stream and laid out under every step of it.
-    lists = ids.groupBy(*keys).agg(F.collect_list("cluster_id").alias("__ids"))
+    # Ids are gathered once per stream, in slices, and laid out under every step of it.
+    sliced = ids.withColumn("__slice", F.pmod(F.xxhash64("cluster_id"), F.lit(ID_SLICES)))
+    lists = sliced.groupBy(*keys, "__slice").agg(F.collect_list("cluster_id").alias("__ids")).drop("__slice")
     if keys:
         grid = present.join(lists, keys)
     else:
-        # the list is a single row
+        # at most ID_SLICES rows
         grid = present.withColumn("__one", F.lit(1)).join(
             F.broadcast(lists.withColumn("__one", F.lit(1))), "__one"
         ).drop("__one")
