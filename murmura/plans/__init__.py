@@ -6,7 +6,7 @@ from importlib import import_module
 
 from murmura.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("quality", "drift", "basic", "clustering")
+_MODULES = ("quality", "drift", "basic", "clustering", "sinks")
 
 
 def _load() -> None:

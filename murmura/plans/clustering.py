@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from murmura.functions.durable import cut_lineage
 from murmura.functions.ordering import ordered_index
 from murmura.operators import offline as O
+from murmura.operators.blocks import dealt
 from murmura.operators.assign import absorb, nearest_centroid, squared_radius
 from murmura.operators.online import (
     OnlineClusterer, OnlineConfig, centre, fade, macro_clusters, run_batches, to_clusters,
@@ -127,7 +128,7 @@ def _stream(spark, sf, slices: int = 4):
     size = max(BATCH, -(-points.count() // slices))
     numbered = ordered_index(points, ["ts", "pt_id"], out="seq")
     cut = numbered.withColumn("batch_id", F.floor((F.col("seq") - 1) / F.lit(size)).cast("bigint") + 1)
-    return cut_lineage(featured(cut).select("pt_id", "features", "seq", "batch_id")), size
+    return cut_lineage(dealt(featured(cut).select("pt_id", "features", "seq", "batch_id"), ["pt_id"])), size
 
 
 @query("micro_clusters")
