@@ -245,7 +245,7 @@ def _stats_payloads(spark, sf):
     )
     full = F.to_json(F.struct(
         S.iso_timestamp(F.col("ts")).alias("timestamp"), F.lit("batch processed").alias("message"), "batch_id",
-        F.lit("denstream").alias("model_name"), "active_clusters", F.round("noise_ratio", 6).alias("noise_ratio"),
+        F.lit("online").alias("model_name"), "active_clusters", F.round("noise_ratio", 6).alias("noise_ratio"),
         F.round("latency_ms", 6).alias("latency_ms"),
     ))
     return sizes.select(
@@ -258,7 +258,7 @@ STATS = PTS + """, st AS (SELECT batch_id, count(*) AS n_samples, avg(x) AS late
  avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) AS noise_ratio, count(DISTINCT CASE WHEN label <> -1 THEN label END) AS active_clusters FROM pts GROUP BY 1),
 lr AS (SELECT batch_id AS idx, batch_id % 5 <> 0 AND batch_id % 3 <> 0 AS ok, batch_id % 5 <> 0 AS obj, * FROM st),
 logs AS (SELECT idx, CASE WHEN ok THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp,
-  CASE WHEN ok THEN CAST(batch_id AS VARCHAR) END AS batch_id, CASE WHEN ok THEN 'denstream' END AS model_name,
+  CASE WHEN ok THEN CAST(batch_id AS VARCHAR) END AS batch_id, CASE WHEN ok THEN 'online' END AS model_name,
   CASE WHEN ok THEN active_clusters END AS active_clusters, CASE WHEN ok THEN round(noise_ratio, 6) END AS noise_ratio,
   CASE WHEN ok THEN round(latency_ms, 6) END AS latency_ms,
   CASE WHEN ok THEN 'batch processed' WHEN obj THEN 'only text' END AS message FROM lr)"""
@@ -301,7 +301,7 @@ def _log_read(spark, sf):
     return L.read_logs(spark, path).select("timestamp", "level", "message", F.col("extra")["value"].alias("value"))
 
 
-@query("parse_metrics", f"""WITH {STATS} SELECT batch_id AS idx, 'denstream' AS model_name, round(noise_ratio, 6) AS noise_ratio,
+@query("parse_metrics", f"""WITH {STATS} SELECT batch_id AS idx, 'online' AS model_name, round(noise_ratio, 6) AS noise_ratio,
 active_clusters, CAST(batch_id AS VARCHAR) AS batch_id FROM st""")
 def _parse_metrics(spark, sf):
     stats = pts(spark, sf).groupBy("batch_id").agg(
@@ -313,7 +313,7 @@ def _parse_metrics(spark, sf):
         F.round("noise_ratio", 6).alias("noise_ratio"), F.when(odd, F.col("c")).alias("number_of_clusters"),
         F.when(~odd, F.col("c")).alias("active_clusters"), "batch_id",
     )
-    payload = F.to_json(F.struct(F.create_map(F.lit("denstream"), record).alias("latest")), {"ignoreNullFields": "false"})
+    payload = F.to_json(F.struct(F.create_map(F.lit("online"), record).alias("latest")), {"ignoreNullFields": "false"})
     parsed = P.parse_latest_metrics(stats.select(F.col("batch_id").alias("idx"), payload.alias("payload")), keep=["idx"])
     return parsed.select("idx", "model_name", "noise_ratio", "active_clusters", "batch_id")
 
@@ -380,10 +380,10 @@ def _centroid_rows(spark, sf):
 
 @query("batch_stats", f"""WITH {CLUSTERS}, m AS (SELECT batch_id, count(*) AS n_samples, avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) AS noise_ratio, max(ts) AS ts FROM pts GROUP BY 1),
 a AS (SELECT batch_id, count(*) AS active_clusters, avg(density) AS avg_density FROM clusters WHERE status = 'active' GROUP BY 1)
-SELECT 'clustering_batch' AS event, 'denstream' AS model_name, m.batch_id, n_samples, round(noise_ratio, 6) AS noise_ratio,
+SELECT 'clustering_batch' AS event, 'online' AS model_name, m.batch_id, n_samples, round(noise_ratio, 6) AS noise_ratio,
 epoch_us(ts) AS ts_us, coalesce(active_clusters, 0) AS active_clusters, round(avg_density, 6) AS avg_density FROM m LEFT JOIN a ON m.batch_id = a.batch_id""")
 def _batch_stats(spark, sf):
-    metrics = batch_metrics(featured(pts(spark, sf)), "denstream", group_bound=BATCH).drop("silhouette_score")
+    metrics = batch_metrics(featured(pts(spark, sf)), "online", group_bound=BATCH).drop("silhouette_score")
     stats = sinks.batch_statistics(metrics, clusters(spark, sf))
     return stats.select(
         "event", "model_name", "batch_id", "n_samples", r6("noise_ratio"), F.unix_micros("ts").alias("ts_us"),
