@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set.
 
-    Only in local mode, where neither may be set, a folder of our own is used.
+    Where neither is set, as in a plain local session, a folder beside the warehouse is used,
+    which a cluster shares as well.
     """
-    global _local_folder
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="murmura-")
-    return _local_folder
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,4 +33,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._murmura_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_murmura_path", None)
+        if path is not None:
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
