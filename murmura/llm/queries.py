@@ -42,3 +42,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmura.llm.pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.language import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+bits AS (SELECT *, [('0x' || hex[2 * i + 1 : 2 * i + 2])::INT FOR i IN range(20)] AS b FROM q)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate([
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+      (((b[(5 * j) // 8 + 1] << 8) + coalesce(b[(5 * j) // 8 + 2], 0)) >> (11 - (5 * j) % 8)) % 32 + 1]
+    FOR j IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM bits
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
