@@ -92,3 +92,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmura.llm.weak_labels import classify_quality
 
     return classify_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op5_topk", """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+WHERE rank <= 10
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -18,7 +18,7 @@ from murmura.llm.features import Profile
 from murmura.llm.quality_rules import fit_scorer, profiled
 
 GOOD, BAD, NONE = 1, 0, -1
-LABELLERS = ("length", "word_length", "symbols", "symbol_chars", "symbol_words", "dup_lines", "repeats", "marks", "short_lines")
+LABELLERS = ("length", "word_length", "symbols", "symbol_chars", "symbol_words", "dup_lines", "repeats", "dup_count", "marks", "short_lines")
 
 
 def _vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -33,37 +33,40 @@ def votes(p: Profile) -> np.ndarray:
     dup = p.n_dup_lines / np.maximum(p.n_lines, 1)
     repeats = p.n_repeat_words / words
     per_line = p.n_words / np.maximum(p.n_lines, 1)
+    # Clean counts say little, so most labellers only ever vote bad.
+    none = np.zeros(p.n, bool)
     return np.stack([
         _vote(p.n_words >= 50, p.n_words < 20),
         _vote((mean >= 3) & (mean <= 8), (mean < 2) | (mean > 12)),
-        _vote(symbols < 0.02, symbols > 0.1),
-        _vote(p.n_symbols < 0.005 * p.word_chars, p.n_symbols > 0.05 * p.word_chars),
-        _vote(p.n_symbol_words < 0.02 * words, p.n_symbol_words > 0.2 * words),
-        _vote(dup < 0.1, dup > 0.3),
-        _vote(repeats < 0.2, repeats > 0.5),
+        _vote(none, symbols > 0.1),
+        _vote(none, p.n_symbols > 0.05 * p.word_chars),
+        _vote(none, p.n_symbol_words > 0.2 * words),
+        _vote(none, dup > 0.3),
+        _vote(none, repeats > 0.3),
+        _vote(none, p.n_dup_lines >= 3),
         _vote((marks > 0.02) & (marks < 0.4), marks > 0.6),
         _vote(per_line >= 8, per_line < 3),
     ], axis=1)
 
 
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
-    """EM over vote patterns with their counts: (prior of good, right rates [labeller, class], posteriors of the patterns).
+    """EM over vote patterns with their counts: (prior of good, shares [class, labeller, vote], posteriors of the patterns).
 
-    A labeller's right rate is its share of right votes among its votes on documents of a class; not voting says
-    nothing. It begins with the majority and every labeller better than chance.
+    A share is how often a labeller casts a vote (bad, good or none) on documents of a class, so what a
+    labeller's silence says is learned too. It begins with: good is what nobody calls bad.
     """
-    up, down = (patterns == GOOD).astype(float), (patterns == BAD).astype(float)
-    posterior = (up.sum(1) + 1) / (up.sum(1) + down.sum(1) + 2)
-    rates, prior = np.full((patterns.shape[1], 2), 0.75), 0.5
+    cast = np.stack([patterns == v for v in (BAD, GOOD, NONE)], axis=2).astype(float)
+    bad_votes, good_votes = cast[:, :, 0].sum(1), cast[:, :, 1].sum(1)
+    posterior = np.where(bad_votes == 0, 0.95, np.where(bad_votes < good_votes - 2, 0.4, 0.1))
+    shares, prior = np.full((2, patterns.shape[1], 3), 1 / 3), 0.5
     for _ in range(rounds):
-        good, bad = counts * posterior, counts * (1 - posterior)
-        prior = (good.sum() + 1) / (counts.sum() + 2)
-        rates[:, 1] = (good @ up + 3) / (good @ (up + down) + 4)
-        rates[:, 0] = (bad @ down + 3) / (bad @ (up + down) + 4)
-        says_good = np.log(prior) + up @ np.log(rates[:, 1]) + down @ np.log(1 - rates[:, 1])
-        says_bad = np.log(1 - prior) + down @ np.log(rates[:, 0]) + up @ np.log(1 - rates[:, 0])
-        posterior = 1 / (1 + np.exp(np.clip(says_bad - says_good, -40, 40)))
-    return prior, rates, posterior
+        prior = (counts @ posterior + 1) / (counts.sum() + 2)
+        said = np.zeros((2, len(counts)))
+        for c, weight in enumerate((counts * (1 - posterior), counts * posterior)):
+            shares[c] = (np.einsum("p,plv->lv", weight, cast) + 1) / (weight.sum() + 3)
+            said[c] = np.log(prior if c else 1 - prior) + np.einsum("plv,lv->p", cast, np.log(shares[c]))
+        posterior = 1 / (1 + np.exp(np.clip(said[0] - said[1], -40, 40)))
+    return prior, shares, posterior
 
 
 def _coded(p: Profile) -> np.ndarray:
