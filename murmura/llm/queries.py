@@ -110,3 +110,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from murmura.llm.topk import top_products
 
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op8_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
