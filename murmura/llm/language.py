@@ -76,8 +76,8 @@ class SuffixAutomaton:
 def parser_table(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(table, roots, byte classes) for all languages at once.
 
-    ``table[state * classes + class]`` is the following state times 2, plus 1 where a phrase ends before the
-    byte. Class 0 is the padding, which changes nothing; class 1 holds bytes that no sample has.
+    ``table[state * classes + class]`` is the following state times 4, plus the phrases ended: one where the byte
+    does not continue the phrase, and one more for a byte that occurs nowhere, which is its own phrase. Class 0 is the padding, which changes nothing; class 1 holds bytes that no sample has.
     """
     samples = [folded(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in samples]
     bytes_seen = sorted(set(np.concatenate(samples).tolist()))
@@ -90,8 +90,10 @@ def parser_table(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         nxt = SuffixAutomaton(of[sample], classes).next
         missing = nxt < 0
         after = np.where(nxt[0] < 0, 0, nxt[0])
-        filled = (np.where(missing, after[None, :], nxt) + base) * 2 + missing
-        filled[:, 0] = (np.arange(len(nxt)) + base) * 2
+        ended = missing.astype(np.int32) + (missing & (nxt[0] < 0)[None, :])
+        ended[0] = missing[0]
+        filled = (np.where(missing, after[None, :], nxt) + base) * 4 + ended
+        filled[:, 0] = (np.arange(len(nxt)) + base) * 4
         blocks.append(filled.astype(np.int32))
         roots.append(base)
         base += len(nxt)
@@ -122,9 +124,9 @@ def phrases(data: np.ndarray, offs: np.ndarray, table: np.ndarray, roots: np.nda
             for t in range(int(size[lanes[0]])):
                 n = running[t]
                 got = table[state[:n] * classes + block[t, :n]]
-                ends[:n] += got & 1
-                state[:n] = got >> 1
-            np.add.at(counts[:, k], owner[lanes], ends + 1)
+                ends[:n] += got & 3
+                state[:n] = got >> 2
+            np.add.at(counts[:, k], owner[lanes], ends + (state != root))
     return counts
 
 

@@ -83,8 +83,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, label: str,
         picked = half if picked is None else picked.unionByName(half)
     # At most ``sample`` rows of three numbers.
     picked = F.broadcast(picked.withColumnRenamed("doc_id", "__labelled"))
-    return docs.join(picked, docs[id_col] == F.col("__labelled")).select(
-        "target", "place", F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(picked, F.col("__doc") == F.col("__labelled")).select("target", "place", "text")
 
 
 def profiled(columns: Callable[[Profile], list[pa.Array]], names: list[str]):

@@ -81,7 +81,8 @@ def _meet(k: int):
         floor = queries["floor"].to_numpy(dtype=float)
         floor = floor - 1e-9 * np.abs(floor) - 1e-6
         cosine = np.where(qlen * longest > 0, floor / np.maximum(qlen * longest, 1e-300), -1.0)
-        plain = np.flatnonzero(~(cosine >= COSINE))
+        steep = (cosine >= COSINE) & (qlen > 0)
+        plain = np.flatnonzero(~steep)
         if len(plain):
             # Length pruning: the bucket is in order of length, so what can count is a prefix.
             need = np.where(qlen[plain] > 0, floor[plain] / np.maximum(qlen[plain], 1e-300), -np.inf).min()
@@ -89,7 +90,7 @@ def _meet(k: int):
             scores = _products(q[plain], v[live]) if len(live) else np.zeros((len(plain), 0), np.int64)
             for n, p in enumerate(plain):
                 out.append((p, live, scores[n]))
-        for p in np.flatnonzero(cosine >= COSINE):
+        for p in np.flatnonzero(steep):
             # Coordinate pruning: with f the strongest query coordinate and c the cosine needed, x must hold
             # f x + sqrt((1 - f f)(1 - x x)) >= c.
             strong = int(np.abs(q[p]).argmax())

@@ -53,11 +53,10 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
     """EM over vote patterns with their counts: (prior of good, shares [class, labeller, vote], posteriors of the patterns).
 
     A share is how often a labeller casts a vote (bad, good or none) on documents of a class, so what a
-    labeller's silence says is learned too. It begins with: good is what nobody calls bad.
+    labeller's silence says is learned too. It begins with: the more call a document bad, the worse it is.
     """
     cast = np.stack([patterns == v for v in (BAD, GOOD, NONE)], axis=2).astype(float)
-    bad_votes, good_votes = cast[:, :, 0].sum(1), cast[:, :, 1].sum(1)
-    posterior = np.where(bad_votes == 0, 0.95, np.where(bad_votes < good_votes - 2, 0.4, 0.1))
+    posterior = np.clip(0.95 - 0.4 * cast[:, :, 0].sum(1), 0.02, 0.95)
     shares, prior = np.full((2, patterns.shape[1], 3), 1 / 3), 0.5
     for _ in range(rounds):
         prior = (counts @ posterior + 1) / (counts.sum() + 2)
