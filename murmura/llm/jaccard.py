@@ -293,8 +293,10 @@ def jaccard_groups(
 
     firsts = rows.select("__text").mapInArrow(_first(size, percent, frequent, rank), "set_id bigint, first array<bigint>")
     postings = firsts.select("set_id", F.explode("first").alias("s"))
-    buckets = postings.groupBy("s").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("other")).where("leader <> other")
-    members = cut_lineage(postings.join(buckets.select("s", "leader"), "s"))
+    # Written before it is joined, so that the join has shuffles of its own and can split a frequent shingle.
+    buckets = cut_lineage(postings.groupBy("s").agg(
+        F.min("set_id").alias("leader"), F.max("set_id").alias("other")).where("leader <> other").drop("other"))
+    members = cut_lineage(postings.join(buckets, "s"))
     met = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("c")).select("set_id")
     known = cut_lineage(classes.where("n > 0").groupBy("set_id").agg(
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("__doc").alias("rep")).join(met, "set_id", "left_semi"))
@@ -308,9 +310,11 @@ def jaccard_groups(
     comps = cut_lineage(_component_of(known, links))
 
     split = members.select("s", "set_id").distinct().join(comps, "set_id")
-    mixed = split.groupBy("s").agg(
-        F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 2 and lo <> hi")
-    inside = split.join(mixed.select("s", F.ceil(F.col("c") / LEAVES).alias("blocks")), "s").join(
+    split = cut_lineage(split)
+    mixed = cut_lineage(split.groupBy("s").agg(
+        F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+        "c > 2 and lo <> hi").select("s", F.ceil(F.col("c") / LEAVES).alias("blocks")))
+    inside = split.join(mixed, "s").join(
         known.select("set_id", "n", "bits"), "set_id")
     nodes = cut_lineage(inside.groupBy("s", F.pmod(F.xxhash64("set_id"), "blocks").alias("block")).agg(
         F.collect_list(F.struct("set_id", "comp", "n", "bits")).alias("held")))

@@ -248,9 +248,11 @@ def repeated_passages(
     runs = cut_lineage(rows.select(*_KEY, "__text").mapInArrow(
         _runs_of(width, gram), "digit bigint, run bigint, __id bigint, __tag int, first int, n int, place int"))
 
-    digits = runs.groupBy("digit").agg(
+    # Counted keys are written before they are joined: a join dealt by the counting's own
+    # shuffle could not split a frequent key.
+    digits = cut_lineage(runs.groupBy("digit").agg(
         F.count(F.lit(1)).alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")
-    ).where("c > 1")
+    ).where("c > 1").drop("c"))
     met = cut_lineage(runs.join(digits, "digit").select(
         *_PIECE, "n", "place", "digit", "run", F.col("lo").eqNullSafe(F.col("hi")).alias("alike")))
     release(runs)
@@ -271,16 +273,17 @@ def repeated_passages(
 
     chunks = cut_lineage(pieces.mapInArrow(_chunks_of(width), "core bigint, joint bigint, __id bigint, __tag int,"
                          " first int, c int, begin int, n int, sole boolean"))
-    cores = chunks.groupBy("core").agg(
+    cores = cut_lineage(chunks.groupBy("core").agg(
         F.count(F.lit(1)).alias("k"), F.max("sole").alias("s"), (F.min("joint") == F.max("joint")).alias("settled")
-    ).where("k > 1 and s").select("core", "settled")
+    ).where("k > 1 and s").select("core", "settled"))
     kept = cut_lineage(chunks.join(cores, "core").select(*_PIECE, "begin", "n", "sole", "settled"))
     settled = kept.where("settled and sole").select(*_KEY, F.col("begin").alias("first"), "n")
     open_ = kept.where("not settled").groupBy(*_PIECE).agg(F.collect_list(F.struct("begin", "n")).alias("chunks"))
     suffixes = cut_lineage(pieces.select(*_PIECE, "sole", "bytes").join(open_, list(_PIECE)).mapInArrow(
         _suffixes_of(width), "suffix bigint, __id bigint, __tag int, first int, sole boolean"))
-    twice = suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("k"), F.max("sole").alias("s")).where("k > 1 and s")
-    border = suffixes.where("sole").join(twice.select("suffix"), "suffix").select(*_PIECE, F.lit(1).alias("n"))
+    twice = cut_lineage(suffixes.groupBy("suffix").agg(
+        F.count(F.lit(1)).alias("k"), F.max("sole").alias("s")).where("k > 1 and s").select("suffix"))
+    border = suffixes.where("sole").join(twice, "suffix").select(*_PIECE, F.lit(1).alias("n"))
 
     found = alike.unionByName(copied).unionByName(settled).unionByName(border)
     spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
