@@ -11,6 +11,7 @@ possible overlap is too small. Its pairs are verified on the sets themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ FREQUENT = 1 << 16
 LEAVES = 256
 FAN = 16
 _BITS = 512
+_STEP = 1.04
 _PACK = 5
 
 
@@ -43,11 +45,36 @@ def _sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _identity(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set sizes, set ids): a set's id mixes the sum of its mixed shingles with its size."""
+    """(set sizes, set ids): a set's id mixes the sum of its mixed shingles with its size; its last 8 bits are the size class."""
     sizes = np.bincount(owner, minlength=n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x5851F42D4C957F2D)))])
     ends = np.cumsum(sizes)
-    return sizes, mix((total[ends] - total[ends - sizes]) ^ sizes.astype(np.uint64))
+    ids = mix((total[ends] - total[ends - sizes]) ^ sizes.astype(np.uint64))
+    return sizes, (ids & ~np.uint64(255)) | _size_class(sizes).astype(np.uint64)
+
+
+def _size_class(sizes: np.ndarray) -> np.ndarray:
+    """Sizes by factors of _STEP, the largest together."""
+    return np.minimum(255, np.log(np.maximum(sizes, 1)) / math.log(_STEP)).astype(np.int64)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (as bytes) of ``size`` bytes, a power of two as before."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
+def _bitmaps(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """A bitmap for every set, of at least two bits a shingle and _BITS bits."""
+    out, at = [], 0
+    for n in sizes.tolist():
+        width = max(_BITS, 1 << (2 * n - 1).bit_length() if n else _BITS)
+        flags = np.zeros(width, bool)
+        flags[(hashes[at: at + n] % np.uint64(width)).astype(np.int64)] = True
+        out.append(np.packbits(flags))
+        at += n
+    return out
 
 
 def _listed(owner: np.ndarray, values: np.ndarray, n: int, kind=None) -> pa.Array:
@@ -62,14 +89,13 @@ def _identified(size: int):
                 owner, hashes = _sets(part, size)
                 sizes, ids = _identity(owner, hashes, part.n)
                 some = (ids % np.uint64(SAMPLED) == 0)[owner]
-                bits = np.zeros((part.n, _BITS), bool)
-                bits[owner, (hashes % np.uint64(_BITS)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
+                wide = _bitmaps(hashes, sizes)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[part.first: part.first + part.n], pa.array(sizes, pa.int64()), pa.array(signed(ids)),
                     _listed(owner[some], signed(hashes[some]), part.n, pa.int64()),
-                    pa.array([row.tobytes() for row in packed], pa.binary()),
-                ], ["__doc", "n", "set_id", "sample", "bits"])
+                    pa.array([_folded(w, _BITS // 8).tobytes() for w in wide], pa.binary()),
+                    pa.array([w.tobytes() for w in wide], pa.binary()),
+                ], ["__doc", "n", "set_id", "sample", "bits", "wide"])
 
     return run
 
@@ -162,30 +188,43 @@ def _linked(percent: int):
 
 
 def _bounded(percent: int):
-    """The pairs (a, b, na, nb, bitmaps) that sizes and bitmaps do not rule out."""
+    """The pairs (a, b, na, nb, wide bitmaps) that sizes and bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n1), -1) for i in (4, 5))
-            at = np.arange(len(n1))
-            fine = _possible((n1, n1, one, one), (n2, n2, two, two), at, at, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fine)) for i in (0, 1)], ["a", "b"])
+            sizes = [batch.column(i).to_numpy() for i in (2, 3)]
+            lack = np.zeros((2, batch.num_rows), np.int64)
+            for row in range(batch.num_rows):
+                one, two = (np.frombuffer(batch.column(i)[row].as_buffer(), np.uint8) for i in (4, 5))
+                width = min(len(one), len(two))
+                one, two = _folded(one, width).view(np.uint64), _folded(two, width).view(np.uint64)
+                lack[0, row] = np.bitwise_count(one & ~two).sum()
+                lack[1, row] = np.bitwise_count(two & ~one).sum()
+            most = np.minimum(sizes[0] - lack[0], sizes[1] - lack[1])
+            fine = pa.array(100 * most >= percent * (sizes[0] + sizes[1] - most))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(fine) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; only the texts of classes in pairs are fetched, once a class."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(what bitmaps leave of the pairs, those of them that reach the similarity).
+
+    Only the texts of classes in pairs that are left are fetched, once a class.
+    """
+    one = known.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    two = known.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    left = cut_lineage(pairs.join(one, "a").join(two, "b").where(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "wa", "wb").mapInArrow(
+        _bounded(percent), "a bigint, b bigint"))
+    ends = left.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     reps = known.join(ends, "set_id", "left_semi").select(F.col("rep").alias("__rep")).distinct()
     shut = rows.mapInArrow(_shut, f"__doc {kind}, __shut binary")
     sets = cut_lineage(shut.join(reps, F.col("__doc").eqNullSafe(F.col("__rep"))).select("__shut").mapInArrow(
         _packed(size), "set_id bigint, n bigint, packed binary"))
-    left, right = sets.select(F.col("set_id").alias("a"), F.col("packed").alias("pa")), sets.select(
-        F.col("set_id").alias("b"), F.col("packed").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return cut_lineage(both.select("a", "b", "pa", "pb").mapInArrow(_linked(percent), "a bigint, b bigint"))
+    both = left.join(sets.select(F.col("set_id").alias("a"), F.col("packed").alias("pa")), "a").join(
+        sets.select(F.col("set_id").alias("b"), F.col("packed").alias("pb")), "b")
+    return left, cut_lineage(both.select("a", "b", "pa", "pb").mapInArrow(_linked(percent), "a bigint, b bigint"))
 
 
 class _Tree:
@@ -283,7 +322,7 @@ def jaccard_groups(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
     classes = cut_lineage(rows.mapInArrow(
-        _identified(size), f"__doc {kind}, n bigint, set_id bigint, sample array<bigint>, bits binary"))
+        _identified(size), f"__doc {kind}, n bigint, set_id bigint, sample array<bigint>, bits binary, wide binary"))
     seen = classes.where(F.size("sample") > 0).select("set_id", F.explode("sample").alias("s")).distinct().groupBy("s").count()
     often = seen.where("count >= 4").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     held = np.array([(r[0], r[1]) for r in often], np.int64).reshape(-1, 2)
@@ -299,14 +338,15 @@ def jaccard_groups(
     members = cut_lineage(postings.join(buckets, "s"))
     met = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("c")).select("set_id")
     known = cut_lineage(classes.where("n > 0").groupBy("set_id").agg(
-        F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("__doc").alias("rep")).join(met, "set_id", "left_semi"))
-
-    stars = members.where("set_id <> leader").groupBy(F.col("leader").alias("a"), F.col("set_id").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"))
-    signed_ = stars.join(known.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(
-        known.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-    pairs = cut_lineage(signed_.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded(percent), "a bigint, b bigint"))
-    links = _verified(pairs, known, rows, kind, size, percent)
+        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"),
+        F.min("__doc").alias("rep")).join(met, "set_id", "left_semi"))
+
+    # Size classes, in the ids, drop most chance meetings before anything is fetched for them.
+    apart = math.ceil(math.log(100 / percent) / math.log(_STEP)) + 1
+    near = (F.abs(F.col("set_id").bitwiseAND(255) - F.col("leader").bitwiseAND(255)) <= apart)
+    stars = members.where((F.col("set_id") != F.col("leader")) & near).groupBy(
+        F.col("leader").alias("a"), F.col("set_id").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b")
+    pairs, links = _verified(stars, known, rows, kind, size, percent)
     comps = cut_lineage(_component_of(known, links))
 
     split = members.select("s", "set_id").distinct().join(comps, "set_id")
@@ -321,7 +361,7 @@ def jaccard_groups(
     other = nodes.select("s", F.col("block").alias("block2"), F.col("held").alias("held2"))
     meeting = nodes.join(other, "s").where("block <= block2").select("held", "held2", (F.col("block") == F.col("block2")).alias("same"))
     more = meeting.mapInArrow(_traversed(percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
-    further = _verified(cut_lineage(more), known, rows, kind, size, percent)
+    _, further = _verified(more, known, rows, kind, size, percent)
     final = cut_lineage(_component_of(known, links.unionByName(further)))
 
     grouped = classes.select("__doc", "n", "set_id").join(final, "set_id", "left").withColumn(
