@@ -100,13 +100,23 @@ def nearest_centroid(
     )
 
 
-def squared_radius(w: Column, cf1: Column, cf2: Column) -> Column:
-    """Squared radius of a micro-cluster, |CF2| / w - (|CF1| / w) ** 2 with vector lengths, at least 0.
+RADIUS_FORMS = ("rms", "norms")
 
-    This is the published form the reference uses. It never exceeds the mean squared distance
-    to the centre.
+
+def squared_radius(w: Column, cf1: Column, cf2: Column, form: str = "rms") -> Column:
+    """Squared radius of a micro-cluster, at least 0.
+
+    ``rms`` is the mean squared distance to the centre, which does not depend on where the origin is. ``norms`` puts
+    vector lengths into the same expression, |CF2| / w - (|CF1| / w) ** 2, as some published code does; it is smaller, and far from the
+    origin it lets distant points in.
     """
-    return F.greatest(v_norm(cf2) / w - (v_norm(cf1) / w) * (v_norm(cf1) / w), F.lit(0.0))
+    if form not in RADIUS_FORMS:
+        raise ValueError(f"radius form must be one of {RADIUS_FORMS}, got {form}")
+    if form == "norms":
+        return F.greatest(v_norm(cf2) / w - (v_norm(cf1) / w) * (v_norm(cf1) / w), F.lit(0.0))
+    spread = F.aggregate(
+        F.zip_with(cf2, cf1, lambda q, s: q / w - (s / w) * (s / w)), F.lit(0.0), lambda acc, v: acc + v)
+    return F.greatest(spread, F.lit(0.0))
 
 
 def absorb(
@@ -116,6 +126,7 @@ def absorb(
     keys: Sequence[str] = (),
     bound: int | None = None,
     dims: int | None = None,
+    radius_form: str = "rms",
 ) -> DataFrame:
     """Points with the micro-cluster that takes them: ``mc_id``, ``distance``, or NULLs.
 
@@ -150,6 +161,7 @@ def absorb(
             F.col(f"{side}.w") + 1,
             v_add(F.col(f"{side}.cf1"), F.col("features")),
             F.zip_with(F.col(f"{side}.cf2"), F.col("features"), lambda s, v: s + v * v),
+            radius_form,
         )
         return F.coalesce(F.sqrt(merged) <= epsilon, F.lit(False))
 

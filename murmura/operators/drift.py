@@ -25,7 +25,7 @@ MIN_AGE_FOR_DRIFT = 2
 
 def check_alpha(alpha: float | None) -> None:
     if alpha is not None and not 0 < alpha <= 1:
-        raise ValueError(f"ema_alpha must be in the range (0, 1], got {alpha}")
+        raise ValueError(f"ema_alpha {alpha} is not above 0 and at most 1")
 
 
 def number_steps(timestamps: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -38,12 +38,20 @@ def number_steps(timestamps: DataFrame, keys: Sequence[str] = (), ts: str = "ts"
     return with_dt(numbered, keys, ts)
 
 
+def _seconds(times: DataFrame, ts: str):
+    """Time as a number: seconds of a timestamp or date, a number as it is."""
+    if times.schema[ts].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
+    return F.col(ts).cast("double")
+
+
 def with_dt(steps: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Add ``dt``, the time since the step before; 1 for the first step of a stream."""
     keys = list(keys)
-    earlier = steps.select(*keys, (F.col("step") + 1).alias("step"), F.col(ts).alias("__before"))
+    seconds = _seconds(steps, ts)
+    earlier = steps.select(*keys, (F.col("step") + 1).alias("step"), seconds.alias("__before"))
     return steps.join(earlier, [*keys, "step"], "left").withColumn(
-        "dt", F.coalesce((F.col(ts) - F.col("__before")).cast("double"), F.lit(1.0))
+        "dt", F.coalesce(seconds - F.col("__before"), F.lit(1.0))
     ).drop("__before")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from murmura.functions.durable import cut_lineage
 from murmura.functions.scalar import decayed_weight, outlier_floor, prune_period
-from murmura.operators.assign import absorb, squared_radius
+from murmura.operators.assign import RADIUS_FORMS, absorb, squared_radius
 from murmura.operators.components import components
 from murmura.operators.offline import mst_edges
 
@@ -44,7 +44,7 @@ CLOCK_ID = -1
 
 @dataclass(frozen=True)
 class OnlineConfig:
-    """Parameters of the damped window; the defaults are those of the reference."""
+    """Parameters of the damped window."""
 
     decay_factor: float = 0.01
     epsilon: float = 0.5
@@ -52,11 +52,15 @@ class OnlineConfig:
     mu: float = 2.5
     n_samples_init: int = 200
     stream_speed: int = 50
+    #: How a radius is measured, see ``squared_radius``.
+    radius_form: str = "rms"
 
     def __post_init__(self) -> None:
         prune_period(self.decay_factor, self.beta, self.mu)
         if self.epsilon <= 0:
             raise ValueError(f"epsilon must be greater than 0, got {self.epsilon}")
+        if self.radius_form not in RADIUS_FORMS:
+            raise ValueError(f"radius_form must be one of {RADIUS_FORMS}, got {self.radius_form}")
         if self.stream_speed <= 0:
             raise ValueError(f"stream_speed must be greater than 0, got {self.stream_speed}")
 
@@ -206,8 +210,11 @@ class OnlineClusterer:
     def _pieces(self, points: DataFrame, faded: DataFrame) -> DataFrame:
         """Sums of the points per (micro-cluster, ring, cell); the only pass over the batch."""
         cfg, keys = self.config, self.keys
+        # A point of another dimension may not be cut or padded in silence.
+        points = points.where(F.when(F.size("features") == self.dims, F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit(f"points must have {self.dims} coordinates, got "), F.size("features").cast("string"))).cast("boolean")))
         centres = faded.select(*keys, "mc_id", "status", "w", "cf1", "cf2")
-        taken = absorb(points, centres, cfg.epsilon, keys, self.micro_clusters, self.dims)
+        taken = absorb(points, centres, cfg.epsilon, keys, self.micro_clusters, self.dims, cfg.radius_form)
         side = 2 * cfg.epsilon / math.sqrt(self.dims)
         f = decayed_weight(F.lit(1.0), F.col("now") - F.col("t"), cfg.decay_factor)
         x = [F.get("features", F.lit(i)) for i in range(self.dims)]
@@ -238,7 +245,7 @@ class OnlineClusterer:
             **{f"Q{i}": F.get("c2", F.lit(i)) + F.sum(f"q{i}").over(inside) for i in dims},
         })
         W, S, Q = F.col("W"), F.array(*[F.col(f"S{i}") for i in dims]), F.array(*[F.col(f"Q{i}") for i in dims])
-        radius = F.sqrt(squared_radius(W, S, Q))
+        radius = F.sqrt(squared_radius(W, S, Q, self.config.radius_form))
         too_wide = F.max((radius > self.config.epsilon).cast("int")).over(inside)
         verdict = summed.withColumn("out", too_wide).select(*keys, "mc_id", "ring", "out")
         judged = pieces.join(verdict, [*keys, "mc_id", "ring"], "left")

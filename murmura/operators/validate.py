@@ -66,9 +66,9 @@ def centroid_rules() -> dict[str, Column]:
 
 
 def sane_centroids(centroids: DataFrame, strict: bool = True) -> DataFrame:
-    """Centroids with bigint ids and finite coordinates; strict mode fails on others."""
-    typed = centroids.withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+    """Centroids with bigint ids and finite coordinates; strict mode fails on others, else they are left out."""
     if strict:
+        typed = centroids.withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
         guard = F.when(v_is_finite(F.col("centroid")), F.lit(True)).otherwise(
             F.raise_error(F.concat(
                 F.lit("Centroid for cluster "), F.col("cluster_id").cast("string"),
@@ -76,7 +76,8 @@ def sane_centroids(centroids: DataFrame, strict: bool = True) -> DataFrame:
             )).cast("boolean")
         )
         return typed.where(guard)
-    return split_valid(typed, centroid_rules())[0]
+    typed = centroids.withColumn("cluster_id", F.col("cluster_id").try_cast("bigint"))
+    return split_valid(typed.where("cluster_id IS NOT NULL"), centroid_rules())[0]
 
 
 def require_model_name(model_name: str) -> None:

@@ -37,17 +37,18 @@ def _nearest_centroid(spark, sf):
 
 
 # Micro-clusters of the batch before, two labels potential, the rest outliers.
-ABSORB_EPS = 140.0
+ABSORB_EPS = 30.0
 PREVIOUS = """c AS (SELECT batch_id + 1 AS batch_id, label AS mc_id, CASE WHEN label < 2 THEN 'p' ELSE 'o' END AS status,
-  CAST(count(*) AS DOUBLE) AS w, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS qx, sum(y * y) AS qy
-  FROM pts WHERE label <> -1 GROUP BY 1, 2)"""
+  CAST(count(*) AS DOUBLE) AS w, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS qx, sum(y * y) AS qy,
+  avg(x) AS mx, avg(y) AS my FROM pts WHERE label <> -1 GROUP BY 1, 2),
+ss AS (SELECT c.batch_id, c.mc_id, sum((x - mx) * (x - mx) + (y - my) * (y - my)) AS ss
+  FROM c JOIN pts p ON p.batch_id + 1 = c.batch_id AND p.label = c.mc_id GROUP BY 1, 2)"""
 
 
 @query("absorb", f"""WITH {PTS}, {PREVIOUS},
 d AS (SELECT p.batch_id, p.pt_id, c.mc_id, c.status, sqrt((p.x - sx / w) * (p.x - sx / w) + (p.y - sy / w) * (p.y - sy / w)) AS d,
-        sqrt((qx + x * x) * (qx + x * x) + (qy + y * y) * (qy + y * y)) / (w + 1)
-        - ((sx + x) * (sx + x) + (sy + y) * (sy + y)) / ((w + 1) * (w + 1)) AS r2
-      FROM pts p LEFT JOIN c ON p.batch_id = c.batch_id),
+        (ss + w / (w + 1) * ((x - mx) * (x - mx) + (y - my) * (y - my))) / (w + 1) AS r2
+      FROM pts p LEFT JOIN c ON p.batch_id = c.batch_id LEFT JOIN ss ON ss.batch_id = c.batch_id AND ss.mc_id = c.mc_id),
 f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, pt_id, status ORDER BY d, mc_id) AS rn, sqrt(greatest(r2, 0)) <= {ABSORB_EPS} AS fits FROM d),
 n AS (SELECT batch_id, pt_id, max(CASE WHEN status = 'p' AND fits THEN mc_id END) AS p, max(CASE WHEN status = 'o' AND fits THEN mc_id END) AS o,
       max(CASE WHEN status = 'p' AND fits THEN d END) AS dp, max(CASE WHEN status = 'o' AND fits THEN d END) AS d_o FROM f WHERE rn = 1 GROUP BY 1, 2)
@@ -72,7 +73,7 @@ UPDATE = PTS + f""", tp AS (SELECT *, floor(epoch_us(ts) / CAST(60000000 AS DOUB
 tn AS (SELECT *, max(t) OVER (PARTITION BY batch_id) AS now FROM tp),
 fp AS (SELECT *, pow(CAST(2 AS DOUBLE), CAST(-{CONFIG.decay_factor} AS DOUBLE) * (now - t)) AS f,
        floor(x / CAST({SIDE!r} AS DOUBLE)) AS gx, floor(y / CAST({SIDE!r} AS DOUBLE)) AS gy FROM tn),
-mc AS (SELECT batch_id, min(pt_id) AS mc_id, count(*) AS n, sum(f) AS w, sum(f * x) AS sx, sum(f * y) AS sy,
+mc AS (SELECT batch_id, gx, gy, min(pt_id) AS mc_id, count(*) AS n, sum(f) AS w, sum(f * x) AS sx, sum(f * y) AS sy,
        sum(f * x * x) AS qx, sum(f * y * y) AS qy, min(t) AS t_created, max(now) AS t_last FROM fp GROUP BY batch_id, gx, gy),
 ms AS (SELECT *, CASE WHEN w >= {CONFIG.core_weight} THEN 'p' ELSE 'o' END AS status FROM mc)"""
 
@@ -84,8 +85,10 @@ def _updated(spark, sf):
     return clusterer, clusterer.fit(points)
 
 
-@query("micro_cluster_update", f"""WITH {UPDATE} SELECT batch_id, mc_id, status, n, round(w, 6) AS w, round(sx / w, 6) AS cx, round(sy / w, 6) AS cy,
-round(sqrt(greatest(sqrt(qx * qx + qy * qy) / w - (sx * sx + sy * sy) / (w * w), 0)), 4) AS radius, t_created, t_last FROM ms""")
+@query("micro_cluster_update", f"""WITH {UPDATE}, sp AS (SELECT m.batch_id, m.gx, m.gy, sum(f * ((x - sx / w) * (x - sx / w) + (y - sy / w) * (y - sy / w))) AS ss
+  FROM ms m JOIN fp USING (batch_id, gx, gy) GROUP BY 1, 2, 3)
+SELECT batch_id, mc_id, status, n, round(w, 6) AS w, round(sx / w, 6) AS cx, round(sy / w, 6) AS cy,
+round(sqrt(ss / w), 4) AS radius, t_created, t_last FROM ms JOIN sp USING (batch_id, gx, gy)""")
 def _micro_cluster_update(spark, sf):
     _, state = _updated(spark, sf)
     # Columns made from w come first: a select that renames w would lend them the new one.
@@ -122,18 +125,19 @@ def _mc_prune(spark, sf):
     return later.where(clusterer.prune_rule(F.col("t_last"))).select("batch_id", "mc_id", "status", r6("w"))
 
 
-def _stream(spark, sf, slices: int = 4):
-    """All events as one stream, cut into ``slices`` mini-batches of equal size."""
-    points = event_points(spark, sf)
-    size = max(BATCH, -(-points.count() // slices))
-    numbered = ordered_index(points, ["ts", "pt_id"], out="seq")
-    cut = numbered.withColumn("batch_id", F.floor((F.col("seq") - 1) / F.lit(size)).cast("bigint") + 1)
-    return cut_lineage(dealt(featured(cut).select("pt_id", "features", "seq", "batch_id"), ["pt_id"])), size
+STREAM_BATCH = 2500
+
+
+def _stream(spark, sf):
+    """All events as one stream, cut into mini-batches of a fixed size."""
+    numbered = ordered_index(event_points(spark, sf), ["ts", "pt_id"], out="seq")
+    cut = numbered.withColumn("batch_id", F.floor((F.col("seq") - 1) / F.lit(STREAM_BATCH)).cast("bigint") + 1)
+    return cut_lineage(dealt(featured(cut).select("pt_id", "features", "seq", "batch_id"), ["pt_id"]))
 
 
 @query("micro_clusters")
 def _micro_clusters(spark, sf):
-    points, _ = _stream(spark, sf)
+    points = _stream(spark, sf)
     config = OnlineConfig(epsilon=EPS)
     timed = points.withColumn("t", F.floor((F.col("seq") - 1) / F.lit(config.stream_speed)).cast("double"))
     last = points.agg(F.max("batch_id")).first()[0]

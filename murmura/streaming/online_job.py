@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from murmura.functions.durable import folder_names
 from murmura.operators.assign import nearest_centroid
 from murmura.operators.base import Clusterer
 from murmura.operators.clusters import with_status
@@ -44,7 +45,6 @@ class OnlineJob:
         self.factory = factory or (lambda cfg: OnlineClusterer(cfg, keys))
         self.clusterer = self.factory(self.config)
         self.metrics_sink = metrics_sink or (lambda df, _: append_metrics(df, f"{root}/metrics"))
-        self.run = 0
 
     # --- configuration and state versions ---
 
@@ -54,38 +54,39 @@ class OnlineJob:
         if changed != self.config:
             self.config = changed
             self.clusterer = self.factory(changed)
+            self.reset()
         return self.config.to_dict()
 
     def reset(self) -> None:
-        """Start over from an empty state; earlier versions stay where they are."""
-        self.run += 1
+        """Start over from an empty state, for later jobs on the same root too."""
+        self.spark.range(0).write.mode("overwrite").parquet(f"{self._config_root}/run={self.run + 1}/begun")
 
     @property
-    def state_root(self) -> str:
+    def run(self) -> int:
+        """How often this configuration began anew: the latest marker below the root."""
+        return max((int(n[len("run="):]) for n in folder_names(self.spark, self._config_root) if n.startswith("run=")), default=0)
+
+    @property
+    def _config_root(self) -> str:
         text = json.dumps(self.config.to_dict(), sort_keys=True)
-        return f"{self.root}/state/config={hashlib.sha256(text.encode()).hexdigest()[:16]}/run={self.run}"
+        return f"{self.root}/state/config={hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+    @property
+    def state_root(self) -> str:
+        return f"{self._config_root}/run={self.run}"
 
     def _versions(self) -> list[int]:
         """Finished state versions; the file system is asked for folder names only."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.state_root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name[len("epoch="):]))
-        return sorted(found)
+        names = folder_names(self.spark, self.state_root, finished=True)
+        return sorted(int(n[len("epoch="):]) for n in names if n.startswith("epoch="))
 
     def state(self, before: int | None = None, like: DataFrame | None = None) -> DataFrame:
         """Latest state, or the latest below version ``before``."""
         versions = [v for v in self._versions() if before is None or v < before]
-        schema = self.clusterer.empty_state(self.spark, like)
         if not versions:
-            return schema
-        return self.spark.read.schema(schema.schema).parquet(f"{self.state_root}/epoch={versions[-1]}")
+            return self.clusterer.empty_state(self.spark, like)
+        # The stored types count: a key's type is the stream's.
+        return self.spark.read.parquet(f"{self.state_root}/epoch={versions[-1]}")
 
     def current_clusters(self) -> tuple[DataFrame, DataFrame]:
         """(active, decayed) clusters of the latest state."""
@@ -98,7 +99,7 @@ class OnlineJob:
         batch = batch.persist()
         try:
             if batch.isEmpty():
-                self._empty(epoch_id)
+                self._empty(epoch_id, batch)
                 return
             path = f"{self.state_root}/epoch={epoch_id}"
             self.clusterer.update(self.state(epoch_id, batch), batch).write.mode("overwrite").parquet(path)
@@ -118,11 +119,11 @@ class OnlineJob:
         statistics = batch_statistics(metrics.drop("silhouette_score"), found, groups)
         append_batches(statistics, f"{self.root}/statistics", ["model_name", "batch_id"])
 
-    def _empty(self, epoch_id: int) -> None:
+    def _empty(self, epoch_id: int, batch: DataFrame) -> None:
         """No points: the state stays, the metrics of the batch are zero."""
         row = self.spark.range(1).select(
             F.lit(epoch_id).cast("bigint").alias("batch_id"),
-            *[F.lit(None).cast("string").alias(k) for k in self.keys],
+            *[F.lit(None).cast(batch.schema[k].dataType).alias(k) for k in self.keys],
             F.lit(self.model_name).alias("model_name"), F.lit(0).cast("bigint").alias("n_samples"),
             F.lit(0).cast("bigint").alias("number_of_clusters"), F.lit(0.0).alias("noise_ratio"),
             F.lit(None).cast("double").alias("silhouette_score"), F.current_timestamp().alias("ts"),

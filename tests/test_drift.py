@@ -137,3 +137,10 @@ def test_histories(spark):
     assert {(r["step"], r["cluster_id"]): r["centroid"] for r in cells} == {
         (1, 0): [0.0, 0.0], (1, 1): None, (2, 0): None, (2, 1): [1.0, 1.0]
     }
+
+
+def test_steps_of_timestamps(spark):
+    times = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT timestamp'2024-01-01 00:00:02.5'")
+    from murmura.operators.drift import number_steps
+
+    assert [(r["step"], r["dt"]) for r in number_steps(times).orderBy("step").collect()] == [(1, 1.0), (2, 2.5)]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage
+from murmura.operators.assign import absorb
 from murmura.operators.drift import per_cluster_drift
 from murmura.operators.online import OnlineClusterer, OnlineConfig, macro_clusters
 
@@ -16,7 +17,8 @@ CFG = OnlineConfig(epsilon=0.5, n_samples_init=30, stream_speed=10, decay_factor
 
 
 def radius(w, cf1, cf2):
-    return math.sqrt(max(np.linalg.norm(cf2) / w - (np.linalg.norm(cf1) / w) ** 2, 0))
+    """Root of the mean squared distance to the centre."""
+    return math.sqrt(max(sum(q / w - (s / w) ** 2 for q, s in zip(cf2, cf1)), 0))
 
 
 def walk(batches, cfg):
@@ -121,6 +123,28 @@ def test_update_against_a_walk(spark):
         assert [r["n"] for r in rows if r["k"] == key and r["status"] == "clock"] == [seen]
 
 
+def test_epsilon_holds_wherever_the_origin_is(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1.0, (300, 2))
+    shifts = {"here": np.array([0.0, 0.0]), "there": np.array([300.0, 50.0])}
+    rows = [(k, 0, i, [float(a), float(b)]) for k, by in shifts.items() for i, (a, b) in enumerate(base + by)]
+    points = spark.createDataFrame(rows, "k string, b int, pt_id bigint, features array<double>")
+    state = spark.createDataFrame(
+        [(k, 1, "p", 100.0, [float(100 * v) for v in by], [float(100 * (v * v + 0.02)) for v in by]) for k, by in shifts.items()],
+        "k string, mc_id bigint, status string, w double, cf1 array<double>, cf2 array<double>")
+    taken = {(r["k"], r["pt_id"]) for r in absorb(points, state, 0.22, ["k"]).where("mc_id is not null").collect()}
+    here, there = ({i for k, i in taken if k == side} for side in shifts)
+    assert here == there and 0 < len(here) < 300
+    cfg = OnlineConfig(epsilon=0.5, n_samples_init=50)
+    clusterer = OnlineClusterer(cfg, ["k"])
+    for b in (points.where("pt_id < 150"), points.where("pt_id >= 150")):
+        state = cut_lineage(clusterer.update(state if "n" in state.columns else clusterer.empty_state(spark, points), b))
+        for r in state.where("status in ('p', 'o')").collect():
+            assert radius(r["w"], r["cf1"], r["cf2"]) <= cfg.epsilon + 1e-6
+    with pytest.raises(Exception, match="coordinates"):
+        clusterer.update(state, points.withColumn("features", F.array(F.lit(0.0), F.lit(0.0), F.lit(9.0)))).count()
+
+
 def scenario_batches():
     """Four streams: steady, drifting, a cluster comes and another goes, growing noise."""
     def batch(rng, centres, per, noise):
@@ -151,7 +175,8 @@ def test_scenarios(spark):
             streams[key].append([(start + i, tuple(p)) for i, p in enumerate(xy)])
             start += len(xy)
     points = as_frame(spark, streams).cache()
-    clusterer = OnlineClusterer(OnlineConfig(), ["k"])
+    # The bounds below are those of the form with vector lengths.
+    clusterer = OnlineClusterer(OnlineConfig(radius_form="norms"), ["k"])
     state = clusterer.empty_state(spark, points)
     counts, snapshots = {k: [] for k in streams}, []
     for b in range(9):

@@ -114,3 +114,10 @@ def test_prune_period():
     assert prune_period(0.01, 0.5, 2.5) == 233
     with pytest.raises(ValueError):
         prune_period(0.01, 0.5, 2.0)
+
+
+def test_centroids_with_text_ids_are_left_out(spark):
+    from murmura.operators.validate import sane_centroids
+
+    rows = spark.createDataFrame([("7", [1.0, 2.0]), ("x", [1.0, 2.0]), ("8", [float("nan"), 0.0])], "cluster_id string, centroid array<double>")
+    assert [r["cluster_id"] for r in sane_centroids(rows, strict=False).collect()] == [7]

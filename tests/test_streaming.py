@@ -76,9 +76,27 @@ def test_replay_job_metrics_and_state(spark, tmp_path):
     assert job.configure(decay_factor=0.2, unknown=1)["decay_factor"] == 0.2
     assert job.state().count() == 0
     job.configure(decay_factor=0.01)
-    assert job.state().count() > 0
+    assert job.state().count() == 0
+    plain(points.where("batch_id = 1"), 4)
+    root = str(tmp_path / "out")
+    assert OnlineJob(spark, root, OnlineConfig(n_samples_init=100)).state().count() > 0
     job.reset()
     assert job.state().count() == 0
+    # A job that starts later sees the reset.
+    assert OnlineJob(spark, root, OnlineConfig(n_samples_init=100)).state().count() == 0
+
+
+def test_numeric_keys_and_empty_batches(spark, tmp_path):
+    points = stream_points(spark, 300).select((F.col("pt_id") % 3).alias("k"), "pt_id", "features")
+    job = OnlineJob(spark, str(tmp_path / "out"), OnlineConfig(n_samples_init=10), keys=["k"])
+    job.process(points.where("pt_id < 150"), 0)
+    job.process(points.where("pt_id < 0"), 1)
+    job.process(points.where("pt_id >= 150"), 2)
+    active, _ = job.current_clusters()
+    assert dict(active.dtypes)["k"] == "bigint" and active.select("k").distinct().count() == 3
+    again = OnlineJob(spark, str(tmp_path / "out"), OnlineConfig(n_samples_init=10), keys=["k"])
+    assert again.current_clusters()[0].count() == active.count()
+    assert read_metrics(spark, str(tmp_path / "out" / "metrics")).count() == 7
 
 
 def test_injected_clusterer_and_sink(spark, tmp_path):
