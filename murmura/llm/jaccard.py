@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage
-from murmura.llm.text import LOWER, Rolling, Slice, mix, shingles, signed, slices
+from murmura.llm.text import LOWER, mix, Rolling, shingles, signed, Slice, slices, small_batches
 from murmura.operators.components import components
 
 SAMPLED = 32
@@ -319,7 +319,7 @@ def jaccard_groups(
     are linked with nothing and name themselves. Rows with a null id link like others but name no
     component unless all of it is null. Repeated rows are of one class. An empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = small_batches(docs).schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
     classes = cut_lineage(rows.mapInArrow(
         _identified(size), f"__doc {kind}, n bigint, set_id bigint, sample array<bigint>, bits binary, wide binary"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.llm.text import LOWER, slices
+from murmura.llm.text import LOWER, slices, small_batches
 
 UNKNOWN = "und"
 SEGMENT = 256
@@ -209,7 +209,7 @@ def identify_language(
     """
     samples = training_text(
         docs if labelled is None else labelled, id_col, text_col, lang_col, per_language, held_out, max_languages)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = small_batches(docs).schema[id_col].dataType.simpleString()
     mapped = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).mapInArrow(
         predicted(samples), f"__doc {kind}, lang_pred string, score double, rate double")
     held = F.coalesce(F.crc32(F.col("__doc").cast("string")), F.lit(0)) % held_out == 0
@@ -221,7 +221,7 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
     samples = training_text(docs, options.get("id_col", "doc_id"), "text", "lang",
                             options.get("per_language", 12_288), options.get("held_out", 5), 64)
     predict = predicted(samples)
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from murmura.llm.text import small_batches
 from murmura.functions.durable import cut_lineage
 
 CAPACITY = 2048
@@ -71,7 +72,7 @@ def _pieces_of(path: str, capacity: int):
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__doc, piece, start, length, ids_crc32) of every document; only the first piece of a long one is short."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = small_batches(docs).schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).mapInArrow(
         _pieces_of(tokenizer, capacity), f"__doc {kind}, piece bigint, start bigint, length bigint, ids_crc32 bigint")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.features import Profile, calibrate, fit, sigmoid
-from murmura.llm.text import slices
+from murmura.llm.text import slices, small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -115,7 +115,7 @@ def quality_rules(
         quality = pa.nulls(p.n, pa.float64()) if scorer is None else pa.array(scorer.probability(p), pa.float64())
         return [*[pa.array(getattr(p, c), pa.int64()) for c in COUNTS], quality]
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = small_batches(docs).schema[id_col].dataType.simpleString()
     counted = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).mapInArrow(
         profiled(columns, [*COUNTS, "quality_score"]),
         f"__doc {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", quality_score double")

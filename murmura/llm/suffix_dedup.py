@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage, release
-from murmura.llm.text import Rolling, signed, slices
+from murmura.llm.text import Rolling, signed, slices, small_batches
 
 CHUNK = 16
 _KEY = ("__id", "__tag")
@@ -243,7 +243,7 @@ def repeated_passages(
     gram = gram or width // 2
     if not 0 < gram <= width:
         raise ValueError(f"gram must lie in 1..{width}, got {gram}")
-    rows = _keyed(docs, id_col, text_col)
+    rows = _keyed(small_batches(docs), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     runs = cut_lineage(rows.select(*_KEY, "__text").mapInArrow(
         _runs_of(width, gram), "digit bigint, run bigint, __id bigint, __tag int, first int, n int, place int"))

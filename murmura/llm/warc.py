@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.llm.text import small_batches
 from murmura.functions.durable import cut_lineage, new_path
 
 GAP = 64 << 10
@@ -92,6 +93,7 @@ def write_archives(
     Of rows with equal payloads of at least ``revisit_bytes`` bytes those with the largest id are responses (a null id is the
     smallest; rows that share that id are all responses), the others revisit it. A null html is empty.
     """
+    small_batches(pages)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("html"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from murmura.functions.durable import cut_lineage
 from murmura.llm.features import Profile
 from murmura.llm.quality_rules import fit_scorer, profiled
+from murmura.llm.text import small_batches
 
 GOOD, BAD, NONE = 1, 0, -1
 LABELLERS = ("length", "word_length", "symbols", "symbol_chars", "symbol_words", "dup_lines", "repeats", "dup_count", "marks", "short_lines")
@@ -89,7 +90,7 @@ def classify_quality(
     calibrated probability of good, and ``kept`` whether score (the posterior, where only one class was seen) reaches
     ``threshold``. A null text is empty; equal rows get equal answers; an empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = small_batches(docs).schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
     voted = cut_lineage(rows.select(F.xxhash64(F.lit(11), "__doc", "__text").alias("__doc"), "__text").mapInArrow(
         profiled(lambda p: [pa.array(_coded(p), pa.int64())], ["code"]), "__doc bigint, code bigint"))
