@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from murmura.functions.ordering import ordered_index
 from murmura.functions.vector import distance, v_add, v_norm
 from murmura.schema import NOISE
 
@@ -77,9 +77,8 @@ def nearest_centroid(
     keys = list(keys)
     if bound is None:
         bound = largest_group(centroids, keys)
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("mc_id")
-    ranked = centroids.select(
-        *keys, "mc_id", "centroid", (F.row_number().over(order) - 1).cast("bigint").alias("label")
+    ranked = ordered_index(centroids.select(*keys, "mc_id", "centroid"), ["mc_id"], keys, "label").withColumn(
+        "label", F.col("label") - 1
     )
     bare = points.drop("label", "mc_id", "distance")
     joined = beside(bare, ranked, keys, ["mc_id", "centroid", "label"], max(1, bound))

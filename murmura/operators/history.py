@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-ID_SLICES = 256
+ID_SLICES = 64
 
 
 def last_n(df: DataFrame, n: int, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -19,7 +19,7 @@ def last_n(df: DataFrame, n: int, keys: Sequence[str], order_by: Sequence[str])
     most ``n`` rows per slice reach the final ranking.
     """
     if n <= 0:
-        raise ValueError(f"history size must be greater than 0, got {n}")
+        raise ValueError(f"cannot keep the last {n} rows, ask for one or more")
     newest = [F.col(c).desc() for c in order_by]
     slices = 64
     slot = F.pmod(F.xxhash64(*order_by), F.lit(slices))
@@ -61,17 +61,10 @@ def trajectories(snapshots: DataFrame, keys: Sequence[str] = (), steps: DataFram
     keys = list(keys)
     present = snapshots.select(*keys, "step").distinct() if steps is None else steps.select(*keys, "step")
     ids = snapshots.select(*keys, "cluster_id").distinct()
-    # Ids are gathered once per stream, in slices, and laid out under every step of it.
-    sliced = ids.withColumn("__slice", F.pmod(F.xxhash64("cluster_id"), F.lit(ID_SLICES)))
-    lists = sliced.groupBy(*keys, "__slice").agg(F.collect_list("cluster_id").alias("__ids")).drop("__slice")
-    if keys:
-        grid = present.join(lists, keys)
-    else:
-        # at most ID_SLICES rows
-        grid = present.withColumn("__one", F.lit(1)).join(
-            F.broadcast(lists.withColumn("__one", F.lit(1))), "__one"
-        ).drop("__one")
-    cells = grid.select(*keys, "step", F.explode("__ids").alias("cluster_id"))
+    # Ids are dealt to slices and every step visits each of them, so a stream with most ids or steps is spread out.
+    sliced = ids.withColumn("__slice", F.pmod(F.xxhash64("cluster_id"), F.lit(ID_SLICES)).cast("int"))
+    visits = present.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(ID_SLICES - 1))))
+    cells = visits.join(sliced, [*keys, "__slice"]).select(*keys, "step", "cluster_id")
     return cells.join(snapshots.select(*keys, "step", "cluster_id", "centroid"), [*keys, "step", "cluster_id"], "left")
 
 

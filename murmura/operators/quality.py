@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.functions.ordering import ordered_index
 from murmura.operators.blocks import BLOCK_ROWS
 from murmura.operators.silhouette import mean_score, silhouette, silhouette_samples
 from murmura.operators.validate import require_model_name
@@ -143,18 +144,17 @@ def purity(points: DataFrame, keys: Sequence[str] = ("batch_id",), truth: str =
 
 
 def points_by_label(points: DataFrame, keys: Sequence[str] = ("batch_id",), part_rows: int = 4096) -> DataFrame:
-    """Points of each label as arrays ordered by pt_id, noise under its own label.
+    """Points of each label as arrays ordered by pt_id (unique in the group), noise under its own label.
 
-    A label of a group is laid out in parts (``part`` counts hash slices) so that no array
-    grows with the cluster.
+    A label of a group is laid out in parts of ``part_rows`` points, numbered from 0 in the order of
+    pt_id, so that no array grows with the cluster and the parts read one after the other are the whole.
     """
     keys = list(keys)
-    sizes = _label_counts(points, keys).select(
-        *keys, "label", F.ceil(F.col("cnt") / F.lit(part_rows)).cast("bigint").alias("parts")
-    )
+    if part_rows <= 0:
+        raise ValueError(f"a part needs at least one row, got {part_rows}")
+    numbered = ordered_index(points, ["pt_id"], [*keys, "label"], "__rn")
     return (
-        points.join(sizes, [*keys, "label"])
-        .withColumn("part", F.pmod(F.xxhash64("pt_id"), F.col("parts")))
+        numbered.withColumn("part", F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("bigint"))
         .groupBy(*keys, "label", "part")
         .agg(F.sort_array(F.collect_list(F.struct("pt_id", "features"))).alias("points"))
     )

@@ -26,13 +26,24 @@ UTC_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # --- trips ---------------------------------------------------------------------------------
 
-@query("trip_csv")
+def _clean_columns(clean):
+    return clean.select(
+        F.unix_micros("tpep_pickup_datetime").alias("pickup_us"),
+        F.round("pickup_longitude", 6).alias("lon"), F.round("pickup_latitude", 6).alias("lat"),
+        "trip_distance", "total_amount",
+    )
+
+
+CLEAN_SQL = f"WITH {TRIPS} SELECT epoch_us(tpep_pickup_datetime) AS pickup_us, round(pickup_longitude, 6) AS lon, round(pickup_latitude, 6) AS lat, trip_distance, total_amount FROM clean"
+
+
+@query("trip_csv", CLEAN_SQL)
 def _trip_csv(spark, sf):
     path = new_path(spark, "csv") + "/trips.csv"
     trips(spark, sf).drop("trip_id").write.option("header", True).option(
         "timestampFormat", UTC_TEXT
     ).csv(path)
-    return P.clean_trips(read_trips(spark, path))
+    return _clean_columns(P.clean_trips(read_trips(spark, path)))
 
 
 @query("trip_load", f"WITH {TRIPS} SELECT epoch_us(tpep_pickup_datetime) AS pickup_us, round(pickup_longitude, 6) AS lon, round(pickup_latitude, 6) AS lat, trip_distance, total_amount FROM trips")
@@ -47,13 +58,9 @@ def _trip_load(spark, sf):
     )
 
 
-@query("trip_clean", f"WITH {TRIPS} SELECT epoch_us(tpep_pickup_datetime) AS pickup_us, round(pickup_longitude, 6) AS lon, round(pickup_latitude, 6) AS lat, trip_distance, total_amount FROM clean")
+@query("trip_clean", CLEAN_SQL)
 def _trip_clean(spark, sf):
-    return P.clean_trips(trips(spark, sf)).select(
-        F.unix_micros("tpep_pickup_datetime").alias("pickup_us"),
-        F.round("pickup_longitude", 6).alias("lon"), F.round("pickup_latitude", 6).alias("lat"),
-        "trip_distance", "total_amount",
-    )
+    return _clean_columns(P.clean_trips(trips(spark, sf)))
 
 
 GRID_SQL = """((CAST(trunc(pickup_longitude * 100) AS BIGINT) * 73856093 + CAST(trunc(pickup_latitude * 100) AS BIGINT) * 19349663) % 500 + 500) % 500"""
@@ -228,10 +235,11 @@ def _coerce(spark, sf):
     quoted = F.format_string('{"v": "%s"}', number)
     payload = F.when(F.col("event_id") % 3 == 1, quoted).otherwise(F.format_string('{"v": %s}', number))
     v = F.col("v")
-    return table(spark, sf, "events").select("event_id", number.alias("n"), F.try_parse_json(payload).alias("v")).select(
+    return table(spark, sf, "events").select("event_id", F.try_parse_json(payload).alias("v")).select(
         "event_id", S.as_float(v, "$.v").alias("as_float"),
         S.as_int(v, "$.v", numeric_text=False).alias("as_int"),
-        F.when(S.as_str(v, "$.v").isNotNull(), F.col("n")).alias("as_str"),
+        # A number's text may be written in more than one way, so it is read and written once more.
+        S.as_str(v, "$.v").cast("double").cast("string").alias("as_str"),
         S.as_id(v, "$.v").alias("as_id"),
     )
 
@@ -246,7 +254,8 @@ def _stats_payloads(spark, sf):
     full = F.to_json(F.struct(
         S.iso_timestamp(F.col("ts")).alias("timestamp"), F.lit("batch processed").alias("message"), "batch_id",
         F.lit("online").alias("model_name"), "active_clusters", F.round("noise_ratio", 6).alias("noise_ratio"),
-        F.round("latency_ms", 6).alias("latency_ms"),
+        F.round("latency_ms", 6).alias("latency_ms"), F.lit(0.5).alias("silhouette_score"),
+        (F.round("noise_ratio", 6) * 2).alias("drift_magnitude"),
     ))
     return sizes.select(
         "batch_id", F.when(F.col("batch_id") % 5 == 0, F.lit("[1, 2]"))
@@ -260,7 +269,8 @@ lr AS (SELECT batch_id AS idx, batch_id % 5 <> 0 AND batch_id % 3 <> 0 AS ok, ba
 logs AS (SELECT idx, CASE WHEN ok THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp,
   CASE WHEN ok THEN CAST(batch_id AS VARCHAR) END AS batch_id, CASE WHEN ok THEN 'online' END AS model_name,
   CASE WHEN ok THEN active_clusters END AS active_clusters, CASE WHEN ok THEN round(noise_ratio, 6) END AS noise_ratio,
-  CASE WHEN ok THEN round(latency_ms, 6) END AS latency_ms,
+  CASE WHEN ok THEN round(latency_ms, 6) END AS latency_ms, CASE WHEN ok THEN CAST(0.5 AS DOUBLE) END AS silhouette_score,
+  CASE WHEN ok THEN round(noise_ratio, 6) * 2 END AS drift_magnitude, CASE WHEN obj THEN 'as sent' ELSE '{}' END AS raw,
   CASE WHEN ok THEN 'batch processed' WHEN obj THEN 'only text' END AS message FROM lr)"""
 
 
@@ -270,9 +280,10 @@ def _logs(spark, sf):
 
 @query("log_records", f"WITH {STATS} SELECT * FROM logs")
 def _log_records(spark, sf):
-    return _logs(spark, sf).select(
-        "idx", "timestamp", "batch_id", "model_name", "active_clusters", "noise_ratio", "latency_ms", "message"
-    )
+    sent = _stats_payloads(spark, sf).withColumnRenamed("batch_id", "idx")
+    return L.log_records(sent, keep=["idx", "payload"]).withColumn(
+        "raw", F.when(F.col("raw") == F.col("payload"), "as sent").otherwise(F.col("raw"))
+    ).drop("payload")
 
 
 @query("log_timeline", f"WITH {STATS} SELECT coalesce(timestamp, batch_id, CAST(idx AS VARCHAR)) AS x, noise_ratio AS value FROM logs WHERE noise_ratio IS NOT NULL")
@@ -285,7 +296,8 @@ def _recent_logs(spark, sf):
     return H.recent_logs(_logs(spark, sf).select("idx", "timestamp", "message"), 200, ["timestamp", "idx"])
 
 
-@query("log_read")
+@query("log_read", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, 'INFO' AS level, event_type AS message,
+CAST(value AS VARCHAR) AS value FROM events""")
 def _log_read(spark, sf):
     path = new_path(spark, "logs")
     line = F.to_json(F.struct(
@@ -405,18 +417,12 @@ def _two_models(spark, sf):
     )
 
 
-def _coarse(sql: str) -> str:
-    return sql.replace("p AS", "p2 AS").replace("FROM p a JOIN p b", "FROM p2 a JOIN p2 b").replace(
-        "d AS", "d2 AS").replace("FROM d ", "FROM d2 ").replace("ab AS", "ab2 AS").replace("FROM ab)", "FROM ab2)").replace(
-        "FROM ab ", "FROM ab2 ").replace("s AS (SELECT batch_id, la", "s2 AS (SELECT batch_id, la").replace("FROM s ", "FROM s2 ").replace("sil AS", "sil2 AS")
-
-
 MODELS = PTS + f""", coarse AS (SELECT pt_id, ts, x, y, CAST(floor(y / 25) AS BIGINT) AS label, batch_id FROM pts),
-{silhouette_sql('pts', 'label <> -1')}, {_coarse(silhouette_sql('coarse', 'label <> -1'))},
+{silhouette_sql('pts', 'label <> -1')}, {silhouette_sql('coarse', 'label <> -1', name='coarse_')},
 m AS (SELECT 'online' AS model_name, c.*, silhouette_score FROM (SELECT batch_id, max(ts) AS ts, count(*) AS n_samples, count(DISTINCT CASE WHEN label <> -1 THEN label END) AS number_of_clusters,
  avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) AS noise_ratio FROM pts GROUP BY 1) c LEFT JOIN sil ON c.batch_id = sil.batch_id
  UNION ALL SELECT 'offline', c.*, silhouette_score FROM (SELECT batch_id, max(ts), count(*) AS n_samples, count(DISTINCT label) AS number_of_clusters,
- CAST(0 AS DOUBLE) AS noise_ratio FROM coarse GROUP BY 1) c LEFT JOIN sil2 ON c.batch_id = sil2.batch_id)"""
+ CAST(0 AS DOUBLE) AS noise_ratio FROM coarse GROUP BY 1) c LEFT JOIN coarse_sil ON c.batch_id = coarse_sil.batch_id)"""
 
 
 @query("latest_metrics", f"""WITH {MODELS} SELECT model_name, batch_id, n_samples, number_of_clusters, round(noise_ratio, 6) AS noise_ratio,

@@ -15,19 +15,19 @@ def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
 
-# Mean silhouette of labelled 2-D points ``p(batch_id, pt_id, label, x, y)``.
-def silhouette_sql(source: str, where: str, clustered: str = "TRUE", dist: str | None = None) -> str:
+# Mean silhouette of labelled 2-D points ``p(batch_id, pt_id, label, x, y)``; ``name`` goes before the names of the tables.
+def silhouette_sql(source: str, where: str, clustered: str = "TRUE", dist: str | None = None, name: str = "") -> str:
     dist = dist or "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
-    return f"""p AS (SELECT * FROM {source} WHERE {where}),
-d AS (SELECT a.batch_id, a.pt_id, a.label AS la, b.label AS lb, avg({dist}) AS m
-      FROM p a JOIN p b ON a.batch_id = b.batch_id AND a.pt_id <> b.pt_id GROUP BY 1, 2, 3, 4),
-ab AS (SELECT batch_id, pt_id, la, min(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la <> lb THEN m END) AS b
-       FROM d GROUP BY 1, 2, 3),
-s AS (SELECT batch_id, la, a, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab),
-sil AS (SELECT batch_id,
+    return f"""{name}p AS (SELECT * FROM {source} WHERE {where}),
+{name}d AS (SELECT a.batch_id, a.pt_id, a.label AS la, b.label AS lb, avg({dist}) AS m
+      FROM {name}p a JOIN {name}p b ON a.batch_id = b.batch_id AND a.pt_id <> b.pt_id GROUP BY 1, 2, 3, 4),
+{name}ab AS (SELECT batch_id, pt_id, la, min(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la <> lb THEN m END) AS b
+       FROM {name}d GROUP BY 1, 2, 3),
+{name}s AS (SELECT batch_id, la, a, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM {name}ab),
+{name}sil AS (SELECT batch_id,
                CASE WHEN count(DISTINCT CASE WHEN {clustered} THEN la END) >= 2 AND count(a) > 0
                     THEN avg(s) END AS silhouette_score
-        FROM s GROUP BY 1)"""
+        FROM {name}s GROUP BY 1)"""
 
 
 EMB_DIST = "list_distance(a.features, b.features)"
@@ -115,12 +115,17 @@ def _purity(spark, sf):
     return Q.purity(labelled).select("batch_id", r6("purity"))
 
 
-@query("points_by_label", f"""WITH {PTS} SELECT batch_id, label, count(*) AS n,
-string_agg(CAST(pt_id AS VARCHAR), ',' ORDER BY pt_id) AS pt_ids FROM pts GROUP BY 1, 2""")
+# Less than most clusters of a batch hold, so that parts are compared.
+PART = 64
+
+
+@query("points_by_label", f"""WITH {PTS}, r AS (SELECT batch_id, label, pt_id,
+CAST(floor((row_number() OVER (PARTITION BY batch_id, label ORDER BY pt_id) - 1) / {PART}) AS BIGINT) AS part FROM pts)
+SELECT batch_id, label, part, count(*) AS n, string_agg(CAST(pt_id AS VARCHAR), ',' ORDER BY pt_id) AS pt_ids FROM r GROUP BY 1, 2, 3""")
 def _points_by_label(spark, sf):
-    laid = Q.points_by_label(featured(pts(spark, sf)))
+    laid = Q.points_by_label(featured(pts(spark, sf)), part_rows=PART)
     return laid.select(
-        "batch_id", "label", F.size("points").cast("bigint").alias("n"),
+        "batch_id", "label", "part", F.size("points").cast("bigint").alias("n"),
         F.array_join(F.transform("points", lambda p: p["pt_id"].cast("string")), ",").alias("pt_ids"),
     )
 
