@@ -289,7 +289,7 @@ def high_drift(
     smoothing nothing qualifies.
     """
     if distance_threshold is None and speed_threshold is None:
-        raise ValueError("Provide at least one drift threshold")
+        raise ValueError("no drift threshold was given; at least one is needed")
     ema = F.col("ema_distance")
     over = F.lit(False)
     if distance_threshold is not None:

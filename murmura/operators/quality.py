@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.ordering import ordered_index
-from murmura.operators.blocks import BLOCK_ROWS
-from murmura.operators.silhouette import mean_score, silhouette, silhouette_samples
+from murmura.operators.silhouette import silhouette
 from murmura.operators.validate import require_model_name
 from murmura.schema import NOISE
 
@@ -86,7 +85,7 @@ def batch_metrics(
     group_bound: int | None = None,
     noise: str = "exclude",
 ) -> DataFrame:
-    """One metrics record per batch: samples, clusters, noise share, silhouette.
+    """One metrics record per batch: samples, clusters, noise share, silhouette, latest ``ts`` of points that have one.
 
     ``batches`` lists batches that must appear even without points.
     """
@@ -94,27 +93,16 @@ def batch_metrics(
     keys = list(keys)
     has_ts = "ts" in points.columns
     latest = [F.max("ts").alias("ts")] if has_ts else []
-    if noise == "exclude" and not has_ts and group_bound is not None and group_bound <= BLOCK_ROWS:
-        # Batches that fit a block: counts and scores come out of the same pass. Of a label the
-        # points share its size, so each stands for one part in that many.
-        samples = silhouette_samples(points, keys, noise, group_bound, keep_noise=True)
-        record = samples.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_samples"),
-            F.round(F.sum(F.when(F.col("own_cnt") > 0, 1.0 / F.col("own_cnt")))).alias("number_of_clusters"),
-            _noise_share().alias("noise_ratio"),
-            mean_score(),
-        )
-    else:
-        per_label = points.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("cnt"), *latest)
-        noisy = F.sum(F.when(F.col("label") == NOISE, F.col("cnt")).otherwise(0))
-        counts = per_label.groupBy(*keys).agg(
-            F.sum("cnt").alias("n_samples"),
-            F.count(clustered_label()).alias("number_of_clusters"),
-            (noisy / F.sum("cnt")).alias("noise_ratio"),
-            *latest,
-        )
-        scores = silhouette(points, keys, noise=noise, group_bound=group_bound)
-        record = counts.join(scores, keys, "left")
+    per_label = points.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("cnt"), *latest)
+    noisy = F.sum(F.when(F.col("label") == NOISE, F.col("cnt")).otherwise(0))
+    counts = per_label.groupBy(*keys).agg(
+        F.sum("cnt").alias("n_samples"),
+        F.count(clustered_label()).alias("number_of_clusters"),
+        (noisy / F.sum("cnt")).alias("noise_ratio"),
+        *latest,
+    )
+    scores = silhouette(points, keys, noise=noise, group_bound=group_bound)
+    record = counts.join(scores, keys, "left")
     if batches is not None:
         record = batches.select(*keys).distinct().join(record, keys, "left")
     return record.select(

@@ -215,10 +215,18 @@ def silhouette_squared(points: DataFrame, keys: Sequence[str] = ("batch_id",)) -
 
     Not equal to ``silhouette``; offered for groups whose pair work is out of reach. The mean
     squared distance of a point to a cluster follows from the cluster's size, mean and mean
-    squared norm, so only cluster statistics are joined to the points.
+    squared norm, so only cluster statistics are joined to the points. Coordinates are taken from the
+    mean of the group, as squares of large ones would swallow the differences.
     """
     keys = list(keys)
-    scored = points.where(F.col("label") != NOISE).select(*keys, "pt_id", "label", "features")
+    kept = points.where(F.col("label") != NOISE).select(*keys, "pt_id", "label", "features")
+    middle = (
+        kept.select(*keys, F.posexplode("features").alias("dim", "v"))
+        .groupBy(*keys, "dim").agg(F.avg("v").alias("mean"))
+        .groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("middle"))
+    )
+    scored = kept.join(middle, keys).withColumn(
+        "features", F.zip_with("features", "middle", lambda v, m: v - m)).drop("middle")
     coordinates = scored.select(*keys, "label", F.posexplode("features").alias("dim", "v"))
     stats = (
         coordinates.groupBy(*keys, "label", "dim")

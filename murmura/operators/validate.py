@@ -82,7 +82,7 @@ def sane_centroids(centroids: DataFrame, strict: bool = True) -> DataFrame:
 
 def require_model_name(model_name: str) -> None:
     if not model_name:
-        raise ValueError("model_name must be a non-empty string")
+        raise ValueError("a model needs a model_name that is not empty")
 
 
 def feature_check(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,14 +35,15 @@ EMB_DIST = "list_distance(a.features, b.features)"
 
 @query("batch_metrics", f"""WITH {PTS}, {silhouette_sql('pts', 'label <> -1')}
 SELECT c.batch_id, 'offline' AS model_name, n_samples, number_of_clusters, round(noise_ratio, 6) AS noise_ratio,
-       round(silhouette_score, 6) AS silhouette_score
-FROM (SELECT batch_id, count(*) AS n_samples, count(DISTINCT CASE WHEN label <> -1 THEN label END) AS number_of_clusters,
+       round(silhouette_score, 6) AS silhouette_score, ts_us
+FROM (SELECT batch_id, epoch_us(max(ts)) AS ts_us, count(*) AS n_samples, count(DISTINCT CASE WHEN label <> -1 THEN label END) AS number_of_clusters,
              avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END) AS noise_ratio FROM pts GROUP BY 1) c
 LEFT JOIN sil ON c.batch_id = sil.batch_id""")
 def _batch_metrics(spark, sf):
-    points = featured(pts(spark, sf)).drop("ts")
+    points = featured(pts(spark, sf))
     return Q.batch_metrics(points, "offline", group_bound=BATCH).select(
-        "batch_id", "model_name", "n_samples", "number_of_clusters", r6("noise_ratio"), r6("silhouette_score")
+        "batch_id", "model_name", "n_samples", "number_of_clusters", r6("noise_ratio"), r6("silhouette_score"),
+        F.unix_micros("ts").alias("ts_us"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from murmura.functions.durable import new_path
 from murmura.operators import quality as Q
 from murmura.plans.basic import DATA_SQL, _data_points
-from murmura.plans.quality import r6
+from murmura.plans.quality import r6, silhouette_sql
 from murmura.plans.registry import query
 from murmura.plans.views import BATCH, PTS, featured, pts
 from murmura.sources import json_points as J
@@ -31,17 +31,19 @@ def _cluster_points_json_sink(spark, sf):
     return J.read_cluster_point_batches(spark, path).select("x", "y", "cluster_id", "weight", "batch_id", "noise")
 
 
-@query("metrics_history", f"""WITH {PTS} SELECT 'offline' AS model_name, batch_id, count(*) AS n_samples,
-count(DISTINCT CASE WHEN label <> -1 THEN label END) AS number_of_clusters, round(avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END), 6) AS noise_ratio
-FROM pts GROUP BY 2""")
+@query("metrics_history", f"""WITH {PTS}, {silhouette_sql('pts', 'label <> -1')}, h AS (SELECT 'offline' AS model_name, batch_id, count(*) AS n_samples,
+count(DISTINCT CASE WHEN label <> -1 THEN label END) AS number_of_clusters, round(avg(CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END), 6) AS noise_ratio,
+epoch_us(max(ts)) AS ts_us FROM pts GROUP BY 2)
+SELECT h.*, round(silhouette_score, 6) AS silhouette_score FROM h LEFT JOIN sil ON h.batch_id = sil.batch_id""")
 def _metrics_history(spark, sf):
     """Records appended by model, in one partition per model; writing them again replaces them."""
     path = new_path(spark, "metrics")
-    metrics = Q.batch_metrics(featured(pts(spark, sf)).drop("ts"), "offline", group_bound=BATCH)
+    metrics = Q.batch_metrics(featured(pts(spark, sf)), "offline", group_bound=BATCH)
     for _ in range(2):
         sinks.append_batches(metrics, path, ["model_name"])
     return sinks.read_metrics(spark, path, "offline").select(
-        "model_name", "batch_id", "n_samples", "number_of_clusters", r6("noise_ratio")
+        "model_name", "batch_id", "n_samples", "number_of_clusters", r6("noise_ratio"), F.unix_micros("ts").alias("ts_us"),
+        r6("silhouette_score"),
     )
 
 
