@@ -121,3 +121,27 @@ def test_nearest_with_few_and_many_centres(spark, points, monkeypatch):
     assert [r[0] for r in far] == [-1]
     none = nearest_centroid(only, df.where("mc_id < 0")).select("label").distinct().collect()
     assert [r[0] for r in none] == [-1]
+
+
+def test_parts_of_a_label_follow_the_order(spark):
+    rows = [(1, i, i % 2, [float(i)]) for i in range(11)]
+    laid = Q.points_by_label(spark.createDataFrame(rows, SCHEMA), part_rows=4).orderBy("label", "part").collect()
+    assert [(r["label"], r["part"], [p["pt_id"] for p in r["points"]]) for r in laid] == [
+        (0, 0, [0, 2, 4, 6]), (0, 1, [8, 10]), (1, 0, [1, 3, 5, 7]), (1, 1, [9])]
+
+
+def test_squared_silhouette_does_not_depend_on_the_origin(spark):
+    rng = np.random.default_rng(8)
+    x, labels = rng.normal(size=(40, 2)) + np.repeat([[0, 0], [4, 1]], 20, axis=0), np.repeat([0, 1], 20)
+    for shift in (0.0, 1e7):
+        rows = [(1, i, int(label), (p + shift).tolist()) for i, (p, label) in enumerate(zip(x, labels, strict=True))]
+        got = silhouette_squared(spark.createDataFrame(rows, SCHEMA)).first()["silhouette_score"]
+        assert got == pytest.approx(brute(x, labels, squared=True), abs=1e-6)
+
+
+def test_metrics_record_has_the_latest_timestamp(spark):
+    rows = [(1, 1, 0, [0.0]), (1, 2, 1, [5.0]), (1, 3, -1, [9.0]), (2, 4, -1, [1.0])]
+    stamped = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("pt_id"))
+    got = Q.batch_metrics(stamped, "offline", group_bound=10).orderBy("batch_id").select(
+        "n_samples", "number_of_clusters", F.unix_seconds("ts").alias("s")).collect()
+    assert [tuple(r) for r in got] == [(3, 2, 3), (1, 0, 4)]
