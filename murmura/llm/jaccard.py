@@ -5,8 +5,8 @@ known to be frequent (from a sample; any order is right) last. Classes as simila
 shingles in that order, so these lead them to common buckets. First every class of a bucket is compared with
 the bucket's smallest one, and what links is contracted, so that a group of near copies costs comparisons in proportion to
 its size. Buckets that still hold several components become signature trees: leaves are classes, nodes hold the
-OR of token bitmaps and the range of set sizes, and a dual traversal drops pairs of nodes whose largest
-possible overlap is too small. Its pairs are verified on the sets themselves.
+OR of token bitmaps, the range of set sizes and the first place of the bucket's shingle, and a dual traversal drops pairs of
+nodes whose largest possible overlap is too small. Its pairs are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -230,18 +230,19 @@ def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, si
 class _Tree:
     """A signature tree over the leaves of a block, ordered by size; ``levels`` go from the leaves up.
 
-    A node is (smallest size, largest size, OR of the bitmaps below, AND of them).
+    A node is (smallest size, largest size, OR of the bitmaps below, AND of them, first place of the bucket's shingle).
     """
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray):
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray, place: np.ndarray):
         order = np.lexsort((ids, n))
         self.ids, self.comp = ids[order], comp[order]
-        level = (n[order], n[order], bits[order], bits[order])
+        level = (n[order], n[order], bits[order], bits[order], place[order])
         self.levels = [level]
         while len(level[0]) > 1:
             at = np.arange(0, len(level[0]), FAN)
             level = (np.minimum.reduceat(level[0], at), np.maximum.reduceat(level[1], at),
-                     np.bitwise_or.reduceat(level[2], at, axis=0), np.bitwise_and.reduceat(level[3], at, axis=0))
+                     np.bitwise_or.reduceat(level[2], at, axis=0), np.bitwise_and.reduceat(level[3], at, axis=0),
+                     np.minimum.reduceat(level[4], at))
             self.levels.append(level)
 
 
@@ -249,13 +250,14 @@ def _possible(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, percent: int
     """Whether nodes a and b may hold a linked pair, by size ranges and the largest overlap the bitmaps allow.
 
     Every leaf of a node has its AND bits; each of them that no leaf of the other node has stands for a shingle at least
-    that is not shared.
+    that is not shared. Nor is what comes before the bucket's shingle: a linked pair that shares an earlier one is found in
+    the bucket of the first it shares.
     """
-    low1, high1, any1, all1 = (x[a] for x in one)
-    low2, high2, any2, all2 = (x[b] for x in two)
+    low1, high1, any1, all1, place1 = (x[a] for x in one)
+    low2, high2, any2, all2, place2 = (x[b] for x in two)
     lack1 = np.bitwise_count(all1 & ~any2).sum(axis=1, dtype=np.int64)
     lack2 = np.bitwise_count(all2 & ~any1).sum(axis=1, dtype=np.int64)
-    overlap = np.minimum(high1 - lack1, high2 - lack2)
+    overlap = np.minimum(high1 - np.maximum(lack1, place1), high2 - np.maximum(lack2, place2))
     sized = (100 * high1 >= percent * low2) & (100 * high2 >= percent * low1)
     return sized & (100 * overlap >= percent * (low1 + low2 - overlap))
 
@@ -264,9 +266,9 @@ def _traversed(percent: int):
     """Pairs of blocks of one bucket to the class pairs that no bound rules out."""
 
     def tree(block) -> _Tree:
-        ids, comp, n, bits = (block.field(i) for i in range(4))
+        ids, comp, n, bits, place = (block.field(i) for i in range(5))
         raw = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(ids), -1)
-        return _Tree(n.to_numpy(), raw, comp.to_numpy(), ids.to_numpy())
+        return _Tree(n.to_numpy(), raw, comp.to_numpy(), ids.to_numpy(), place.to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,7 +333,7 @@ def jaccard_groups(
     frequent, rank = frequent[order], held[:, 1][order]
 
     firsts = rows.select("__text").mapInArrow(_first(size, percent, frequent, rank), "set_id bigint, first array<bigint>")
-    postings = firsts.select("set_id", F.explode("first").alias("s"))
+    postings = firsts.select("set_id", F.posexplode("first").alias("place", "s"))
     # Written before it is joined, so that the join has shuffles of its own and can split a frequent shingle.
     buckets = cut_lineage(postings.groupBy("s").agg(
         F.min("set_id").alias("leader"), F.max("set_id").alias("other")).where("leader <> other").drop("other"))
@@ -349,7 +351,7 @@ def jaccard_groups(
     pairs, links = _verified(stars, known, rows, kind, size, percent)
     comps = cut_lineage(_component_of(known, links))
 
-    split = members.select("s", "set_id").distinct().join(comps, "set_id")
+    split = members.select("s", "set_id", "place").distinct().join(comps, "set_id")
     split = cut_lineage(split)
     mixed = cut_lineage(split.groupBy("s").agg(
         F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
@@ -357,10 +359,12 @@ def jaccard_groups(
     inside = split.join(mixed, "s").join(
         known.select("set_id", "n", "bits"), "set_id")
     nodes = cut_lineage(inside.groupBy("s", F.pmod(F.xxhash64("set_id"), "blocks").alias("block")).agg(
-        F.collect_list(F.struct("set_id", "comp", "n", "bits")).alias("held")))
+        F.collect_list(F.struct("set_id", "comp", "n", "bits", "place")).alias("held")))
     other = nodes.select("s", F.col("block").alias("block2"), F.col("held").alias("held2"))
     meeting = nodes.join(other, "s").where("block <= block2").select("held", "held2", (F.col("block") == F.col("block2")).alias("same"))
-    more = meeting.mapInArrow(_traversed(percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    # Written once distinct: the optimizer would join what every bucket says of a pair.
+    found = cut_lineage(meeting.mapInArrow(_traversed(percent), "a bigint, b bigint").distinct())
+    more = found.join(pairs, ["a", "b"], "left_anti")
     _, further = _verified(more, known, rows, kind, size, percent)
     final = cut_lineage(_component_of(known, links.unionByName(further)))
 

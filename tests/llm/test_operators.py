@@ -107,6 +107,23 @@ def test_jaccard_groups(docs, rows, monkeypatch, size, percent, leaves):
     assert Counter(tuple(r) for r in got) == linked_components(rows, size, percent)
 
 
+def test_jaccard_of_a_family_round_the_threshold(spark, monkeypatch):
+    """Many variants of one text, some linked and some not, share most of their buckets."""
+    monkeypatch.setattr(jaccard, "LEAVES", 16)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(len(words), rng.integers(0, 9), replace=False):
+            words[at] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(r) for r in jaccard.jaccard_groups(docs, 4, 85).collect())
+    assert got == linked_components(rows, 4, 85)
+    assert len({c for *_, c in got}) > 10
+
+
 def test_keep_one_leaves_one_of_each_group(docs, rows):
     kept = [r.doc_id for r in jaccard.keep_one(docs).collect()]
     groups = linked_components(rows, 5, 80)
