@@ -28,6 +28,8 @@ SAMPLED = 32
 FREQUENT = 1 << 16
 LEAVES = 256
 FAN = 16
+#: Earlier buckets a class names beside each of its own, so that few pairs are found twice; never what is found.
+EARLIER = 8
 _BITS = 512
 _STEP = 1.04
 _PACK = 5
@@ -234,7 +236,7 @@ class _Tree:
     """
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray, place: np.ndarray):
-        order = np.lexsort((ids, n))
+        self.order = order = np.lexsort((ids, n))
         self.ids, self.comp = ids[order], comp[order]
         level = (n[order], n[order], bits[order], bits[order], place[order])
         self.levels = [level]
@@ -262,13 +264,29 @@ def _possible(one: tuple, two: tuple, a: np.ndarray, b: np.ndarray, percent: int
     return sized & (100 * overlap >= percent * (low1 + low2 - overlap))
 
 
+def _met_before(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether leaves a and b name a common earlier bucket: the first that they share finds them."""
+    met = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        x, y = a[k: k + (1 << 15)], b[k: k + (1 << 15)]
+        equal = one[0][x][:, :, None] == two[0][y][:, None, :]
+        met[k: k + len(x)] = (equal & one[1][x][:, :, None] & two[1][y][:, None, :]).any(axis=(1, 2))
+    return met
+
+
 def _traversed(percent: int):
     """Pairs of blocks of one bucket to the class pairs that no bound rules out."""
 
     def tree(block) -> _Tree:
-        ids, comp, n, bits, place = (block.field(i) for i in range(5))
+        ids, comp, n, bits, place, earlier = (block.field(i) for i in range(6))
         raw = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(ids), -1)
-        return _Tree(n.to_numpy(), raw, comp.to_numpy(), ids.to_numpy(), place.to_numpy())
+        held = _Tree(n.to_numpy(), raw, comp.to_numpy(), ids.to_numpy(), place.to_numpy())
+        named, given = np.zeros((len(ids), EARLIER), np.int64), np.zeros((len(ids), EARLIER), bool)
+        for row, at in enumerate(held.order.tolist()):
+            some = earlier[at].values.to_numpy()
+            named[row, : len(some)], given[row, : len(some)] = some, True
+        held.earlier = named, given
+        return held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,6 +315,8 @@ def _traversed(percent: int):
                         fits = kids < len(right.levels[y][0])
                         a, b = np.repeat(a, fits.sum(axis=1)), kids[fits]
                 new = left.comp[a] != right.comp[b]
+                a, b = a[new], b[new]
+                new = ~_met_before(left.earlier, right.earlier, a, b)
                 ids_a, ids_b = left.ids[a][new], right.ids[b][new]
                 out_a.append(np.minimum(ids_a, ids_b))
                 out_b.append(np.maximum(ids_a, ids_b))
@@ -356,10 +376,15 @@ def jaccard_groups(
     mixed = cut_lineage(split.groupBy("s").agg(
         F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
         "c > 2 and lo <> hi").select("s", F.ceil(F.col("c") / LEAVES).alias("blocks")))
-    inside = split.join(mixed, "s").join(
+    inside = cut_lineage(split.join(mixed, "s"))
+    # A class has no more buckets here than shingles. What two share outside of these is already linked or compared.
+    leads = inside.groupBy("set_id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("place", "s"))), 1, EARLIER).alias("lead"))
+    earlier = F.transform(F.filter("lead", lambda x: x["place"] < F.col("place")), lambda x: x["s"])
+    inside = inside.join(leads, "set_id").withColumn("earlier", earlier).drop("lead").join(
         known.select("set_id", "n", "bits"), "set_id")
     nodes = cut_lineage(inside.groupBy("s", F.pmod(F.xxhash64("set_id"), "blocks").alias("block")).agg(
-        F.collect_list(F.struct("set_id", "comp", "n", "bits", "place")).alias("held")))
+        F.collect_list(F.struct("set_id", "comp", "n", "bits", "place", "earlier")).alias("held")))
     other = nodes.select("s", F.col("block").alias("block2"), F.col("held").alias("held2"))
     meeting = nodes.join(other, "s").where("block <= block2").select("held", "held2", (F.col("block") == F.col("block2")).alias("same"))
     # Written once distinct: the optimizer would join what every bucket says of a pair.
