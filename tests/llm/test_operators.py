@@ -224,6 +224,25 @@ def test_contexts_discover_identifiers(spark):
     assert masked[8] == 'here token = "<ID>" and lot Zq99999' and masked[9] == "lot A1234567 is plain"
 
 
+def test_contexts_of_every_seed_shape(spark):
+    """Seeds that hold no token, contexts with grouped digits only, and a chain of patterns longer than two rounds."""
+    seeds = {"mail": "{}@example.com", "host": "10.20.30.{}", "dial": "+44 20 79{} 0958"}
+    names = ["jane.doe", "ann", "bo.lee", "carl", "dee"]
+    rows = []
+    for k in range(5):
+        for word, shape in seeds.items():
+            rows.append((len(rows), f"write the {word}: {shape.format(names[k] if word == 'mail' else 10 + k)} please", None, None))
+    rows += [(100, "write the mail: ab12cd34 please", None, None), (101, "write the host: 123-45-6789 please", None, None),
+             (102, "write the dial: 020 7946 0958 please", None, None), (103, "on page: 123-45-6789x or 12 34 please", None, None)]
+    # Link j is trusted once the value that it shares with link j - 1 is known.
+    for j in range(4):
+        said = [f"10.9.{j}.{k}" for k in range(4)] + ["10.9.9.9" if j == 0 else f"w{j - 1}00000", f"w{j}00000"]
+        rows += [(200 + 10 * j + k, f"see chain{'abcd'[j]} ref: {v} end", None, None) for k, v in enumerate(said)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert got[100] == "id:16:24" and got[101] == "id:16:27" and got[102] == "id:16:29" and got[103] == ""
+    assert [got[205 + 10 * j] for j in range(4)] == ["id:16:23"] * 4
+
+
 def test_packing_matches_the_tokenizer(docs, rows):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
