@@ -56,7 +56,10 @@ class Profile:
         begin = begin[begin < len(data)]
         stop = np.concatenate([begin[1:], [len(data)]])
         stop = np.where((stop > begin) & (data[stop - 1] == 10), stop - 1, stop) if len(begin) else stop
-        words_before = np.concatenate([[0], np.cumsum(inside[: len(data)] > 0)])
+        # Starts of their own: in ``inside`` the first word of a text and the last of the text before may cancel out.
+        begun = np.zeros(len(data), np.int64)
+        begun[starts] = 1
+        words_before = np.concatenate([[0], np.cumsum(begun)])
         lined = words_before[stop] > words_before[begin]
         begin, stop = begin[lined], stop[lined]
         line_docs = part.doc_of(begin)

@@ -7,10 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from murmura.llm import jaccard, language, mixture, packing, pii, quality_rules, suffix_dedup, topk, warc, weak_labels
+from murmura.llm.features import Profile
+from murmura.llm.text import slices
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, rank bigint, size string, place int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -345,6 +348,11 @@ def test_quality_rules(spark, docs, rows, monkeypatch):
     assert all(r.kept == (not r.base_failed) and r.quality_score is None for r in plain)
 
 
+def test_lines_of_one_word_after_a_text_without_a_line_end():
+    profile = Profile(next(slices(pa.array(["foo bar", "A\nA\nA", "A\nA", "\n \nb"]))))
+    assert profile.n_lines.tolist() == [1, 3, 2, 1] and profile.n_dup_lines.tolist() == [0, 2, 1, 0]
+
+
 def test_quality_is_learned_on_held_out_rows(spark):
     rng = random.Random(3)
     rows = []
