@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage
+from murmura.llm.rows import text_of, WORD
 from murmura.llm.text import LOWER, mix, Rolling, shingles, signed, Slice, slices, small_batches
 from murmura.operators.components import components
 
@@ -93,11 +94,11 @@ def _identified(size: int):
                 some = (ids % np.uint64(SAMPLED) == 0)[owner]
                 wide = _bitmaps(hashes, sizes)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[part.first: part.first + part.n], pa.array(sizes, pa.int64()), pa.array(signed(ids)),
+                    *[batch.column(k)[part.first: part.first + part.n] for k in (0, 2)], pa.array(sizes, pa.int64()), pa.array(signed(ids)),
                     _listed(owner[some], signed(hashes[some]), part.n, pa.int64()),
                     pa.array([_folded(w, _BITS // 8).tobytes() for w in wide], pa.binary()),
                     pa.array([w.tobytes() for w in wide], pa.binary()),
-                ], ["__doc", "n", "set_id", "sample", "bits", "wide"])
+                ], ["__doc", "__tag", "n", "set_id", "sample", "bits", "wide"])
 
     return run
 
@@ -341,10 +342,25 @@ def jaccard_groups(
     are linked with nothing and name themselves. Rows with a null id link like others but name no
     component unless all of it is null. Repeated rows are of one class. An empty table gives no rows.
     """
+    grouped = _grouped(docs, size, percent, id_col, text_col)
+    names = grouped.where("n > 0").groupBy("comp").agg(F.min("__doc").alias("component_id"))
+    return grouped.join(names, "comp", "left").select(
+        F.col("__doc").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__doc")).alias("component_id"))
+
+
+def _tag(id_col: str, text_col: str) -> Column:
+    """With the id, what only rows of equal text share; tells a null id from others."""
+    return F.xxhash64(F.col(id_col).isNull(), text_of(text_col))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(__doc, __tag, n, set_id, comp), a row per row of ``docs``; comp is null where there are no words."""
     kind = small_batches(docs).schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(
+        F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"), _tag(id_col, text_col).alias("__tag"))
     classes = cut_lineage(rows.mapInArrow(
-        _identified(size), f"__doc {kind}, n bigint, set_id bigint, sample array<bigint>, bits binary, wide binary"))
+        _identified(size), f"__doc {kind}, __tag bigint, n bigint, set_id bigint, sample array<bigint>, bits binary, wide binary"))
     seen = classes.where(F.size("sample") > 0).select("set_id", F.explode("sample").alias("s")).distinct().groupBy("s").count()
     often = seen.where("count >= 4").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     held = np.array([(r[0], r[1]) for r in often], np.int64).reshape(-1, 2)
@@ -393,16 +409,22 @@ def jaccard_groups(
     _, further = _verified(more, known, rows, kind, size, percent)
     final = cut_lineage(_component_of(known, links.unionByName(further)))
 
-    grouped = classes.select("__doc", "n", "set_id").join(final, "set_id", "left").withColumn(
+    return classes.select("__doc", "__tag", "n", "set_id").join(final, "set_id", "left").withColumn(
         "comp", F.when(F.col("n") > 0, F.coalesce("comp", "set_id")))
-    names = grouped.where("n > 0").groupBy("comp").agg(F.min("__doc").alias("component_id"))
-    return grouped.join(names, "comp", "left").select(
-        F.col("__doc").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__doc")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of every group (one of them where rows repeat); rows without words all stay."""
-    groups = jaccard_groups(docs, size, percent, id_col, text_col)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of every group, of the smallest id, or of none where all are null; rows without words all stay.
+
+    Of rows that share this id, those of one text count, and one of them stays.
+    """
+    # Of every component one (id, tag): rows are told apart, not ids. All but one of its rows go before the join.
+    first = F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__tag")).alias("m")
+    stay = _grouped(docs, size, percent, id_col, text_col).where("n > 0").groupBy("comp").agg(first)
+    name = F.coalesce(F.col("m.__doc").cast("string"), F.lit(""))
+    stay = cut_lineage(stay.select(name.alias("__key"), F.col("m.__tag").alias("__tag")))
+    worded = text_of(text_col).rlike(WORD)
+    single = docs.where(worded).select(
+        *docs.columns, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"), _tag(id_col, text_col).alias("__tag"),
+    ).dropDuplicates(["__key", "__tag"]).join(stay, ["__key", "__tag"], "left_semi")
+    return single.select(*docs.columns).union(docs.where(~worded))

@@ -134,6 +134,18 @@ def test_keep_one_leaves_one_of_each_group(docs, rows):
     assert not {i for i, n, c in groups if i != c and i is not None} & set(kept)
 
 
+def test_keep_one_decides_by_row(spark):
+    words = [f"word{k}" for k in range(60)]
+    near, alone, nameless = " ".join(words[:30]), " ".join(words[30:45]), " ".join(words[45:])
+    rows = [(1, near, None, None)] * 3 + [(2, near + " more", None, None)] * 2 + [(2, alone, None, None)] * 4
+    rows += [(None, nameless, None, None)] * 3 + [(None, nameless + " more", None, None), (None, near, None, None)]
+    rows += [(5, " ", None, None)] * 2 + [(None, None, None, None)] * 2
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(frame(spark, rows)).collect())
+    spare = [k for k in got if k[0] is None and k[1] in (nameless, nameless + " more")]
+    assert len(spare) == 1 and got.pop(spare[0]) == 1
+    assert got == {(1, near): 1, (2, alone): 1, (5, " "): 2, (None, None): 2}
+
+
 def test_mix_sources(docs, rows):
     got = mixture.mix_sources(docs).collect()
     again = mixture.mix_sources(docs).collect()
