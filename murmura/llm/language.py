@@ -131,21 +131,19 @@ def phrases(data: np.ndarray, offs: np.ndarray, table: np.ndarray, roots: np.nda
 
 
 def training_text(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, held_out: int, max_languages: int
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, held_out: int
 ) -> dict[str, bytes]:
     """At most ``per_language`` bytes of labelled text a language, from documents in hashed id order.
 
-    Only languages with text are kept, the ``max_languages`` most frequent ones. Each document gives its
+    Every language with text is kept. Each document gives its
     first 512 characters at most, so that many authors are heard.
     """
     crc = F.crc32(F.col(id_col).cast("string"))
     pick = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(crc, F.lit(0)) % held_out != 0))
-    langs = [r[0] for r in pick.groupBy(F.col(lang_col).cast("string").alias("l")).count().orderBy(
-        F.desc("count"), "l").limit(max_languages).collect()]
     need = max(1, per_language // 256)
     chosen = F.struct(F.xxhash64(F.lit(3), F.col(id_col)).alias("o"), F.substring(text_col, 1, 512).alias("t"))
     # The smallest hashed ids a language: a bounded heap per task, then one of all.
-    rows = pick.where(F.col(lang_col).cast("string").isin(langs) & (F.length(F.trim(text_col)) > 0)).groupBy(
+    rows = pick.where(F.length(F.trim(text_col)) > 0).groupBy(
         F.col(lang_col).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(need)).alias("b")).agg(
         F.min(chosen).alias("m")).select("l", "m.*").orderBy("l", "o").collect()
     texts: dict[str, bytes] = {}
@@ -163,29 +161,42 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
 
 
-def predicted(samples: dict[str, bytes]):
-    """A map over Arrow batches (__doc, text): (__doc, lang_pred, score, phrases per byte of the winner)."""
-    names = list(samples)
+def _table(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parser table of a block of languages; a worker holds one."""
+    if samples not in _tables:
+        _tables.clear()
+        _tables[samples] = parser_table(list(samples))
+    return _tables[samples]
+
+
+def predicted(samples: dict[str, bytes], at_once: int):
+    """A map over Arrow batches (__doc, text): (__doc, lang_pred, score, phrases per byte of the winner).
+
+    Languages are tried in blocks of ``at_once`` automata, one block at a time for a batch; the two least counts go on.
+    """
+    names, held = list(samples), list(samples.values())
+    blocks = [(k, tuple(held[k: k + at_once])) for k in range(0, len(held), at_once)]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = hash(tuple(samples.items()))
-        if names and token not in _tables:
-            _tables.clear()
-            _tables[token] = parser_table(list(samples.values()))
         for batch in batches:
             column = batch.column(1)
             letters = _has_letter(column)
             n = len(column)
-            best, score, rate = np.full(n, -1), np.zeros(n), np.zeros(n)
-            if names:
+            best, rate = np.full(n, -1), np.zeros(n)
+            low, rest = np.full(n, np.inf), np.full(n, np.inf)
+            for first, block in blocks:
                 for part in slices(column):
-                    counts = phrases(part.data, part.offs, *_tables[token]).astype(float)
+                    counts = phrases(part.data, part.offs, *_table(block)).astype(float)
                     to = slice(part.first, part.first + part.n)
-                    best[to] = counts.argmin(axis=1)
-                    low = counts.min(axis=1)
-                    rest = np.sort(counts, axis=1)[:, 1] if len(names) > 1 else low * 2
-                    score[to] = 1 - low / np.maximum(rest, 1)
-                    rate[to] = low / np.maximum(np.diff(part.offs), 1)
+                    least = counts.min(axis=1)
+                    # Blocks go by name, so a tie stays with the earlier one.
+                    best[to] = np.where(least < low[to], first + counts.argmin(axis=1), best[to])
+                    two = np.sort(np.column_stack([low[to], rest[to], counts]), axis=1)[:, :2]
+                    low[to], rest[to] = two[:, 0], two[:, 1]
+                    rate[to] = low[to] / np.maximum(np.diff(part.offs), 1)
+            if len(names) == 1:
+                rest = low * 2
+            score = 1 - low / np.maximum(rest, 1) if names else np.zeros(n)
             known = letters & (best >= 0)
             label = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([
@@ -197,21 +208,21 @@ def predicted(samples: dict[str, bytes]):
 
 
 def identify_language(
-    docs: DataFrame, per_language: int = 12_288, held_out: int = 5, max_languages: int = 64,
+    docs: DataFrame, per_language: int = 12_288, held_out: int = 5, at_once: int = 64,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", labelled: DataFrame | None = None,
 ) -> DataFrame:
     """(id_col, held_out, lang_pred, score, rate), a row per row of ``docs``.
 
-    Automata are learned from ``labelled`` (``docs`` itself by default), never from held-out rows: those with
-    crc32(id as text) mod ``held_out`` = 0. ``score`` is 1 - phrases of the winner / phrases of the next. A null text, a text
+    An automaton for every language is learned from ``labelled`` (``docs`` itself by default), never from held-out rows: those with
+    crc32(id as text) mod ``held_out`` = 0. A worker holds ``at_once`` automata at a time. ``score`` is 1 - phrases of the winner / phrases of the next. A null text, a text
     without a letter, and any text where nothing was learned is ``und`` with score 0; ties go to the
     first language by name. Rows with a null id may be learned from and are held out; repeated rows get equal answers.
     """
     samples = training_text(
-        docs if labelled is None else labelled, id_col, text_col, lang_col, per_language, held_out, max_languages)
+        docs if labelled is None else labelled, id_col, text_col, lang_col, per_language, held_out)
     kind = small_batches(docs).schema[id_col].dataType.simpleString()
     mapped = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).mapInArrow(
-        predicted(samples), f"__doc {kind}, lang_pred string, score double, rate double")
+        predicted(samples, at_once), f"__doc {kind}, lang_pred string, score double, rate double")
     held = F.coalesce(F.crc32(F.col("__doc").cast("string")), F.lit(0)) % held_out == 0
     return mapped.select(F.col("__doc").alias(id_col), held.alias("held_out"), "lang_pred", "score", "rate")
 
@@ -219,8 +230,8 @@ def identify_language(
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text is in some learned language: those that are not ``und``."""
     samples = training_text(docs, options.get("id_col", "doc_id"), "text", "lang",
-                            options.get("per_language", 12_288), options.get("held_out", 5), 64)
-    predict = predicted(samples)
+                            options.get("per_language", 12_288), options.get("held_out", 5))
+    predict = predicted(samples, options.get("at_once", 64))
     at = small_batches(docs).columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -315,6 +315,18 @@ def test_language(spark):
     assert total > 10 and right >= 0.95 * total
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(10 * k + m, " ".join(rng.choice(words) for _ in range(60)), f"l{k:02}", None) for m in range(3 if k < 65 else 2)]
+    got = {tuple(r) for r in language.identify_language(frame(spark, rows), held_out=1000).collect()}
+    want = {i: lang for i, _, lang, _ in rows}
+    assert all(r[2] == want[r[0]] for r in got if not r[1]) and len(got) == len(rows)
+    assert got == {tuple(r) for r in language.identify_language(frame(spark, rows), held_out=1000, at_once=7).collect()}
+
+
 def test_phrases_are_the_greedy_longest_matches():
     samples = [b"abracadabra banana", b"mississippi river"]
     table = language.parser_table(samples)
