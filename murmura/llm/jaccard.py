@@ -56,6 +56,11 @@ def _identity(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
     return sizes, (ids & ~np.uint64(255)) | _size_class(sizes).astype(np.uint64)
 
 
+def _sampled(ids: np.ndarray) -> np.ndarray:
+    """One set in SAMPLED, whatever its size: by bits of the id above the size class."""
+    return (ids >> np.uint64(8)) % np.uint64(SAMPLED) == 0
+
+
 def _size_class(sizes: np.ndarray) -> np.ndarray:
     """Sizes by factors of _STEP, the largest together."""
     return np.minimum(255, np.log(np.maximum(sizes, 1)) / math.log(_STEP)).astype(np.int64)
@@ -91,7 +96,7 @@ def _identified(size: int):
             for part in slices(batch.column(1)):
                 owner, hashes = _sets(part, size)
                 sizes, ids = _identity(owner, hashes, part.n)
-                some = (ids % np.uint64(SAMPLED) == 0)[owner]
+                some = _sampled(ids)[owner]
                 wide = _bitmaps(hashes, sizes)
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(k)[part.first: part.first + part.n] for k in (0, 2)], pa.array(sizes, pa.int64()), pa.array(signed(ids)),

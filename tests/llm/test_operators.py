@@ -127,6 +127,13 @@ def test_jaccard_of_a_family_round_the_threshold(spark, monkeypatch):
     assert len({c for *_, c in got}) > 10
 
 
+def test_sample_takes_sets_of_every_size():
+    for size in (5, 20, 147, 1000):
+        hashes = np.random.default_rng(size).integers(0, 1 << 63, 2000 * size).astype(np.uint64)
+        _, ids = jaccard._identity(np.repeat(np.arange(2000), size), hashes, 2000)
+        assert 30 < jaccard._sampled(ids).sum() < 100
+
+
 def test_keep_one_leaves_one_of_each_group(docs, rows):
     kept = [r.doc_id for r in jaccard.keep_one(docs).collect()]
     groups = linked_components(rows, 5, 80)
