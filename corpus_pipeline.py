@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, a written table between stages.
 
-language: documents in no learned language go. jaccard: one document of each group of near
+language: documents without a letter go; all others are given the nearest learned language and stay. jaccard: one document of each group of near
 copies stays (five-word shingles, similarity 0.8). pii: personal data is masked in the text. mixture:
 documents are repeated or dropped until sources have their target weights. packing: token pieces in sequences.
 """

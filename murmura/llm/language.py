@@ -228,7 +228,7 @@ def identify_language(
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text is in some learned language: those that are not ``und``."""
+    """The rows of ``docs`` that are not ``und``: those with a letter, where anything was learned. Text of no learned language stays."""
     samples = training_text(docs, options.get("id_col", "doc_id"), "text", "lang",
                             options.get("per_language", 12_288), options.get("held_out", 5))
     predict = predicted(samples, options.get("at_once", 64))
