@@ -124,3 +124,96 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op11_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (
+  SELECT doc_id, part,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS failed
+  FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([0] || [1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, step)])::INT AS before
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (failed & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failed & before <> 0 AND failed & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_line_dedup", """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (
+  SELECT doc_id, lines, [translate(
+    trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR x IN lines] AS keys FROM d),
+u AS (SELECT doc_id, unnest(list_distinct(keys)) AS key FROM e),
+m AS (SELECT key, max(doc_id) AS holder FROM u WHERE length(key) >= 20 GROUP BY key HAVING count(*) >= 3),
+g AS (SELECT doc_id, list(u.key) AS gone FROM u JOIN m ON u.key = m.key AND u.doc_id <> m.holder GROUP BY doc_id),
+k AS (
+  SELECT doc_id, lines, [z[1] FOR z IN list_zip(lines, keys) IF NOT list_contains(coalesce(gone, []), z[2])] AS kept
+  FROM e LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+  sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM k
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_lexical_search", r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+n AS (SELECT doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (
+  SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, n, unnest(terms) AS term FROM n)
+  WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM p, c GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0)
+WHERE rank <= 50
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from murmura.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

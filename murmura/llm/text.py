@@ -90,9 +90,9 @@ class Slice:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offs, at, "right") - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and documents of the words: runs free of ASCII white space."""
-        inside = ~SPACE[self.data]
+    def words(self, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and documents of the words: runs free of ASCII white space, or of other bytes flagged in ``outside``."""
+        inside = ~outside[self.data]
         cut = np.zeros(len(self.data) + 1, bool)
         cut[self.offs] = True
         before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
@@ -102,6 +102,17 @@ class Slice:
         return starts, ends, self.doc_of(starts)
 
 
+def held(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings at ascending ranges that do not overlap."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    inside = np.cumsum(edges[:-1]).astype(bool)
+    offs = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of a column, nulls as empty, in slices of at most ``limit`` bytes or one document."""
     column = column.cast(pa.large_string()).fill_null("")
