@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage
 from murmura.llm.rows import numbered
-from murmura.llm.text import held, slices, small_batches
+from murmura.llm.text import gathered, held, slices, small_batches
 
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 24
 FILTERS = "ABCDE"
 _ABC = np.zeros(256, bool)
 _ABC[65:91] = True
@@ -46,7 +47,7 @@ def _shards(limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in gathered(batches, 2, limit):
             for part in slices(batch.column(2), limit):
                 starts, ends, docs = part.words()
                 coded = held(part.data, starts, ends).dictionary_encode()
@@ -60,7 +61,7 @@ def _shards(limit: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number], pa.int64()), _row(ids, ids.type), _row(parts, parts.type), _row(digests, pa.binary()),
                     _row(100 * upper > 2 * points, pa.bool_()), _row(symbols > 0, pa.bool_()),
-                    _row(rows, pa.int32()), _row(cells % n_words, pa.int32()), _row(counts, pa.int32()),
+                    _row(rows, pa.int32()), shut(cells % n_words), shut(counts),
                     _row(coded.dictionary.cast(pa.binary()), pa.binary()),
                 ], ["shard", "ids", "parts", "digests", "upper", "symbols", "row_ends", "cells", "counts", "words"])
                 number += 1
@@ -68,19 +69,24 @@ def _shards(limit: int):
     return run
 
 
-def _renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local columns of a shard to global ones: the last column lists (local, global)."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            cells = batch.column(batch.num_columns - 2)[row].values
-            if batch.column(batch.num_columns - 1)[row].is_valid:
-                names = batch.column(batch.num_columns - 1)[row].values
-                of = np.empty(len(names), np.int64)
-                of[names.field(0).to_numpy()] = names.field(1).to_numpy()
-                cells = pa.array(of[cells.to_numpy()])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k)[row: row + 1] for k in range(batch.num_columns - 2)], _row(cells.cast(pa.int64()), pa.int64())],
-                [*batch.schema.names[:-2], "columns"])
+def shut(values: np.ndarray) -> pa.Array:
+    """One row of numbers as compressed 64-bit integers."""
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(values.astype("<i8").tobytes())], pa.binary())
+
+
+def opened(value: pa.Scalar) -> np.ndarray:
+    """The numbers of a compressed value."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_py()), "<i8")
+
+
+def _renumbered(shard: pa.Table, names: pa.Table) -> pa.Table:
+    """Local columns of a shard to global ones, given as rows (local, column)."""
+    cells = opened(shard["cells"][0])
+    if len(cells):
+        of = np.empty(len(names), np.int64)
+        of[names["local"].to_numpy()] = names["column"].to_numpy()
+        cells = of[cells]
+    return shard.drop_columns(["cells"]).append_column("columns", shut(cells))
 
 
 def term_matrix(
@@ -89,7 +95,7 @@ def term_matrix(
     """(shards, dictionary): the document-term matrix of whole texts, and (word, column).
 
     A shard is a block of rows: ``ids``, ``parts``, ``digests`` (SHA-256 of the text), flags ``upper`` and ``symbols``, and in CSR
-    ``row_ends`` (one more than rows), ``columns`` (numbers of the dictionary) and ``counts``. Words are whatever is free of ASCII white
+    ``row_ends`` (one more than rows), ``columns`` (numbers of the dictionary) and ``counts``, both compressed (``opened``). Words are whatever is free of ASCII white
     space, case-sensitive, as bytes; a null text is empty, a null part the empty string. An empty table gives no shards.
     """
     rows = small_batches(docs).select(
@@ -98,14 +104,13 @@ def term_matrix(
     kind = rows.schema["__doc"].dataType.simpleString()
     head = (f"shard bigint, ids array<{kind}>, parts array<string>, digests array<binary>, upper array<boolean>,"
             " symbols array<boolean>, row_ends array<int>")
-    local = cut_lineage(rows.mapInArrow(_shards(SHARD_BYTES), f"{head}, cells array<int>, counts array<int>, words array<binary>"))
-    entries = local.select("shard", F.posexplode("words").alias("local", "word"))
+    local = cut_lineage(rows.mapInArrow(_shards(SHARD_BYTES), f"{head}, cells binary, counts binary, words array<binary>"))
+    entries = local.select(F.col("shard").alias("home"), F.posexplode("words").alias("local", "word"))
     dictionary = numbered(entries, "word", "column")
     # A word is once in a shard, so a frequent one has a row a shard; the dictionary is written, so the join may split them.
-    names = entries.join(dictionary, "word").groupBy("shard").agg(F.collect_list(F.struct("local", "column")).alias("names"))
-    width = [c for c in local.columns if c not in ("cells", "words")]
-    matrix = local.join(names, "shard", "left").select(*width, "cells", "names").mapInArrow(
-        _renumbered, f"{head}, counts array<int>, columns array<bigint>")
+    names = entries.join(dictionary, "word").select("home", "local", "column")
+    matrix = local.drop("words").groupBy("shard").cogroup(names.groupBy("home")).applyInArrow(
+        _renumbered, f"{head}, counts binary, columns binary")
     return matrix, dictionary
 
 
@@ -113,9 +118,9 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards to (id, part, digest, bits of the filters A to D that fail)."""
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, parts, digests, upper, symbols, ends, counts = (batch.column(k)[row].values for k in range(7))
+            ids, parts, digests, upper, symbols, ends = (batch.column(k)[row].values for k in range(6))
             ends = ends.to_numpy()
-            total = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
+            total = np.concatenate([[0], np.cumsum(opened(batch.column(6)[row]))])
             words, distinct = total[ends[1:]] - total[ends[:-1]], np.diff(ends).astype(np.int64)
             bits = (words < 200) + 2 * (100 * distinct < 50 * words)
             bits = bits + 4 * upper.to_numpy(zero_copy_only=False) + 8 * symbols.to_numpy(zero_copy_only=False)

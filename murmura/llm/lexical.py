@@ -112,7 +112,7 @@ def search(
     whole = profiles.where("n > 0").agg(F.count(F.lit(1)), F.sum(F.col("n").cast("decimal(38,0)"))).first()
     n_docs, length = int(whole[0]), int(whole[1] or 1)
 
-    numbers = numbered(terms, "term", "tid")
+    numbers = cut_lineage(numbered(terms, "term", "tid"))
     wide = "decimal(38,0)"
     m = (F.lit(50) + F.expr(f"(cast(50 * n as {wide}) * cast({n_docs} as {wide})) div cast({length} as {wide})")).alias("m")
     impact = F.expr("(1000000000 * tf) div (1000 * tf + 20 * m)").alias("impact")
@@ -172,9 +172,11 @@ def search(
         "item", "row", (F.col("w") * F.col("impact")).alias("score"))
     exact = cut_lineage(partial.select("item", "row", "score").unionByName(added).groupBy("item", "row").agg(
         F.sum("score").alias("score")).where("score > 0"))
-    kept = exact.join(_best(exact, k), "item").where(F.col("score") >= F.col("kth")).select("item", "row", "score")
+    # Written before it is joined: a row an item.
+    best = cut_lineage(_best(exact, k))
+    kept = exact.join(best, "item").where(F.col("score") >= F.col("kth")).select("item", "row", "score")
     named = cut_lineage(kept.join(profiles.select("row", "__doc"), "row"))
-    release(exact, profiles, wanted_terms, bounds, vocabulary, numbers, terms, open_, *finished, *([sums] if sums is not None else []))
+    release(exact, best, profiles, wanted_terms, bounds, vocabulary, numbers, terms, open_, *finished, *([sums] if sums is not None else []))
     remove(spark, path)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("__doc").asc_nulls_last()))
     return named.withColumn("rank", place).where(F.col("rank") <= k).select(

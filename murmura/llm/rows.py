@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,17 +26,14 @@ def key_of(id_col: str, text_col: str) -> list[Column]:
 #: Whatever is free of ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-NUMBERED_ROWS = 1 << 16
-
 
 def numbered(values: DataFrame, column: str, out: str) -> DataFrame:
-    """The distinct ``values`` with dense numbers from 0, given inside of hash buckets of about NUMBERED_ROWS; a written table."""
-    values = cut_lineage(values.select(column).distinct())
-    buckets = max(1, math.ceil(values.count() / NUMBERED_ROWS))
-    placed = cut_lineage(values.withColumn("__bucket", F.pmod(F.xxhash64(column), F.lit(buckets))).withColumn(
-        "__at", F.row_number().over(Window.partitionBy("__bucket").orderBy(column))))
-    # One row a bucket.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
-        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return cut_lineage(placed.join(offsets, "__bucket").select(column, (F.col("__offset") + F.col("__at") - 1).cast("bigint").alias(out)))
+    """The distinct ``values`` with dense numbers from 0: places in a table written once, shifted by the partitions before."""
+    placed = cut_lineage(values.select(column).distinct().withColumn("__at", F.monotonically_increasing_id()))
+    # One row a partition.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut_lineage(placed.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", F.shiftright("__at", 33)).join(parts, "__part").select(
+        column, (F.col("__before") + inside).cast("bigint").alias(out))

@@ -127,6 +127,22 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         first = last
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches joined or cut so that their texts take about ``limit`` bytes."""
+    waiting, size = [], 0
+    for batch in batches:
+        first = 0
+        for part in slices(batch.column(column), limit):
+            if waiting and size + len(part.data) > limit:
+                waiting.append(batch.slice(first, part.first - first))
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, size, first = [], 0, part.first
+            size += len(part.data)
+        waiting.append(batch.slice(first))
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def shingles(word_hashes: np.ndarray, docs: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every run of ``size`` words; a shorter document is one run of all its words."""
     if not len(docs):
