@@ -107,7 +107,7 @@ def held(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     edges = np.zeros(len(data) + 1, np.int8)
     edges[starts] += 1
     edges[ends] -= 1
-    inside = np.cumsum(edges[:-1]).astype(bool)
+    inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
     offs = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
     return pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
