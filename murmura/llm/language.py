@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from murmura.functions.durable import cut_lineage
 from murmura.llm.text import LOWER, slices, small_batches
 
 UNKNOWN = "und"
@@ -30,10 +32,11 @@ _FOLD = np.where(_LETTER, LOWER, 32).astype(np.uint8)
 
 
 def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters with one blank for each run of other bytes."""
+    """Lower-case letters with one blank for each run of other bytes after a letter of the same text."""
     letter = _LETTER[data]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
+    after = np.concatenate([[False], letter])
+    after[offs] = False
+    keep = letter | after[:-1]
     total = np.concatenate([[0], np.cumsum(keep)])
     return _FOLD[data[keep]], total[offs]
 
@@ -131,26 +134,33 @@ def phrases(data: np.ndarray, offs: np.ndarray, table: np.ndarray, roots: np.nda
 
 
 def training_text(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, held_out: int
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, held_out: int, window: int = 512
 ) -> dict[str, bytes]:
-    """At most ``per_language`` bytes of labelled text a language, from documents in hashed id order.
+    """``per_language`` bytes of labelled text a language, less where there is less, from documents in hashed order.
 
-    Every language with text is kept. Each document gives its
-    first 512 characters at most, so that many authors are heard.
+    Every language with text is kept. Each document gives at most ``window`` characters, from a hashed place, so that many authors are
+    heard. What is sent to the driver is about twice what is used: hashes are dealt to levels, each as likely as all higher ones
+    together, and the highest levels that fill a language's bytes are taken.
     """
     crc = F.crc32(F.col(id_col).cast("string"))
     pick = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(crc, F.lit(0)) % held_out != 0))
-    need = max(1, per_language // 256)
-    chosen = F.struct(F.xxhash64(F.lit(3), F.col(id_col)).alias("o"), F.substring(text_col, 1, 512).alias("t"))
-    # The smallest hashed ids a language: a bounded heap per task, then one of all.
-    rows = pick.where(F.length(F.trim(text_col)) > 0).groupBy(
-        F.col(lang_col).cast("string").alias("l"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(need)).alias("b")).agg(
-        F.min(chosen).alias("m")).select("l", "m.*").orderBy("l", "o").collect()
+    text = F.col(text_col).cast("string")
+    begin = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), text), F.greatest(F.lit(1), F.length(text) - window + 1)).cast("int")
+    heard = pick.where(F.length(F.trim(text)) > 0).select(
+        F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.lit(3), F.col(id_col), text).alias("o"),
+        F.substring(text, begin + 1, F.lit(window)).alias("t"))
+    heard = heard.withColumn("level", F.length(F.regexp_extract(F.lpad(F.bin("o"), 64, "0"), "^0*", 0)))
+    above = Window.partitionBy("l").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    # At most 65 rows a language.
+    once = heard.groupBy("l", "level", "o").agg(F.max(F.octet_length("t") + 1).alias("size"))
+    levels = once.groupBy("l", "level").agg(F.sum("size").alias("size")).withColumn(
+        "before", F.coalesce(F.sum("size").over(above), F.lit(0))).where(F.col("before") < per_language)
+    rows = heard.join(cut_lineage(levels.select("l", "level")), ["l", "level"]).select("l", "o", "t").distinct().orderBy("l", "o", "t").collect()
     texts: dict[str, bytes] = {}
-    for lang, _, text in rows:
+    for lang, _, said in rows:
         held = texts.get(lang, b"")
         if len(held) < per_language:
-            texts[lang] = (held + b"\n" + text.encode())[:per_language]
+            texts[lang] = (held + b"\n" + said.encode())[:per_language]
     return dict(sorted(texts.items()))
 
 
@@ -216,7 +226,7 @@ def identify_language(
     An automaton for every language is learned from ``labelled`` (``docs`` itself by default), never from held-out rows: those with
     crc32(id as text) mod ``held_out`` = 0. A worker holds ``at_once`` automata at a time. ``score`` is 1 - phrases of the winner / phrases of the next. A null text, a text
     without a letter, and any text where nothing was learned is ``und`` with score 0; ties go to the
-    first language by name. Rows with a null id may be learned from and are held out; repeated rows get equal answers.
+    first language by name. Rows with a null id are held out; repeated rows get equal answers.
     """
     samples = training_text(
         docs if labelled is None else labelled, id_col, text_col, lang_col, per_language, held_out)

@@ -16,11 +16,9 @@ def text_of(text_col: str) -> Column:
 
 
 def key_of(id_col: str, text_col: str) -> list[Column]:
-    """Two columns that only equal rows share; ids may be null or repeated."""
-    return [
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("__id"),
-        F.hash(F.col(id_col).isNull(), text_of(text_col)).alias("__tag"),
-    ]
+    """Two columns of 64 bits that only equal rows share; ids may be of any type, null or repeated."""
+    row = F.col(id_col).isNull(), F.col(id_col), text_of(text_col)
+    return [F.xxhash64(F.lit(k), *row).alias(name) for k, name in enumerate(KEY)]
 
 
 #: Whatever is free of ASCII white space.

@@ -23,22 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.durable import cut_lineage, release
+from murmura.llm.rows import key_of, KEY, text_of
 from murmura.llm.text import Rolling, signed, slices, small_batches
 
 CHUNK = 16
-_KEY = ("__id", "__tag")
+_KEY = KEY
 _PIECE = (*_KEY, "first")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with an identity of their own; equal rows share it, which no result depends on."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("__id"),
-        F.hash(F.col(id_col).isNull(), text).alias("__tag"),
-        text.alias("__text"),
-        F.col(id_col).alias("__doc"),
-    )
+    return docs.select(*key_of(id_col, text_col), text_of(text_col).alias("__text"), F.col(id_col).alias("__doc"))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -124,7 +119,7 @@ def _pieces_of(width: int):
                 held = [data[a: a + c - 1 + width] for a, c in zip(first.to_pylist(), count.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, batch.column(0)[row].as_py(), np.int64)),
-                    pa.array(np.full(n, batch.column(1)[row].as_py(), np.int32)),
+                    pa.array(np.full(n, batch.column(1)[row].as_py(), np.int64)),
                     first, count, place, sole, pa.array(held, pa.binary()),
                 ], [*_PIECE, "n", "place", "sole", "bytes"])
 
@@ -246,7 +241,7 @@ def repeated_passages(
     rows = _keyed(small_batches(docs), id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     runs = cut_lineage(rows.select(*_KEY, "__text").mapInArrow(
-        _runs_of(width, gram), "digit bigint, run bigint, __id bigint, __tag int, first int, n int, place int"))
+        _runs_of(width, gram), "digit bigint, run bigint, __id bigint, __tag bigint, first int, n int, place int"))
 
     # Counted keys are written before they are joined: a join dealt by the counting's own
     # shuffle could not split a frequent key.
@@ -264,14 +259,14 @@ def repeated_passages(
 
     asked = kinds.select("one.*", (F.col("c") == 1).alias("sole")).groupBy(*_KEY).agg(
         F.collect_list(F.struct("first", "n", "place", "sole")).alias("asked"))
-    shut = rows.select(*_KEY, "__text", "__doc").mapInArrow(_shut, f"__id bigint, __tag int, __doc {kind}, __shut binary")
+    shut = rows.select(*_KEY, "__text", "__doc").mapInArrow(_shut, f"__id bigint, __tag bigint, __doc {kind}, __shut binary")
     # Copies of a row would give its runs twice; one of them stands for all.
     texts = shut.select(*_KEY, "__shut").join(asked, list(_KEY)).groupBy(*_KEY).agg(
         F.any_value("__shut").alias("__shut"), F.any_value("asked").alias("asked"))
     pieces = cut_lineage(texts.mapInArrow(
-        _pieces_of(width), "__id bigint, __tag int, first int, n int, place int, sole boolean, bytes binary"))
+        _pieces_of(width), "__id bigint, __tag bigint, first int, n int, place int, sole boolean, bytes binary"))
 
-    chunks = cut_lineage(pieces.mapInArrow(_chunks_of(width), "core bigint, joint bigint, __id bigint, __tag int,"
+    chunks = cut_lineage(pieces.mapInArrow(_chunks_of(width), "core bigint, joint bigint, __id bigint, __tag bigint,"
                          " first int, c int, begin int, n int, sole boolean"))
     cores = cut_lineage(chunks.groupBy("core").agg(
         F.count(F.lit(1)).alias("k"), F.max("sole").alias("s"), (F.min("joint") == F.max("joint")).alias("settled")
@@ -280,7 +275,7 @@ def repeated_passages(
     settled = kept.where("settled and sole").select(*_KEY, F.col("begin").alias("first"), "n")
     open_ = kept.where("not settled").groupBy(*_PIECE).agg(F.collect_list(F.struct("begin", "n")).alias("chunks"))
     suffixes = cut_lineage(pieces.select(*_PIECE, "sole", "bytes").join(open_, list(_PIECE)).mapInArrow(
-        _suffixes_of(width), "suffix bigint, __id bigint, __tag int, first int, sole boolean"))
+        _suffixes_of(width), "suffix bigint, __id bigint, __tag bigint, first int, sole boolean"))
     twice = cut_lineage(suffixes.groupBy("suffix").agg(
         F.count(F.lit(1)).alias("k"), F.max("sole").alias("s")).where("k > 1 and s").select("suffix"))
     border = suffixes.where("sole").join(twice, "suffix").select(*_PIECE, F.lit(1).alias("n"))
