@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmura.functions.durable import new_path
 from murmura.operators import drift as D
 from murmura.operators import history as H
 from murmura.plans.quality import r6
 from murmura.plans.registry import query
 from murmura.plans.views import CLUSTERS, PTS, SNAP, clusters, featured, pts, snapshots
+from murmura.streaming.drift_stream import track_drift
+from murmura.streaming.replay import read_replay, write_replay
 
 ALPHA = 0.3
 
@@ -148,16 +151,42 @@ def _high_drift(spark, sf):
     return D.high_drift(_state(spark, sf), distance_threshold=20.0).select("cluster_id", r6("ema_distance"))
 
 
-@query("drift_update", f"""WITH {FOLD} SELECT m.step, m.cluster_id, m.state, round(m.distance, 6) AS distance, round(m.distance, 6) AS speed,
+UPDATED = f"""WITH {FOLD} SELECT m.step, m.cluster_id, m.state, round(m.distance, 6) AS distance, round(m.distance, 6) AS speed,
 e.age, round(CASE WHEN m.state = 'stable' THEN e.ema_distance END, 6) AS ema_distance,
 round(CASE WHEN e.distance > 0 AND ex * ex + ey * ey > 0 THEN ex / sqrt(ex * ex + ey * ey) END, 6) AS ema_x,
 round(CASE WHEN e.distance > 0 AND ex * ex + ey * ey > 0 THEN ey / sqrt(ex * ex + ey * ey) END, 6) AS ema_y
-FROM moves m LEFT JOIN ema e ON m.step = e.step AND m.cluster_id = e.cluster_id AND m.state <> 'disappeared'""")
+FROM moves m LEFT JOIN ema e ON m.step = e.step AND m.cluster_id = e.cluster_id AND m.state <> 'disappeared'"""
+
+
+@query("drift_update", UPDATED)
 def _drift_update(spark, sf):
     drift, _ = D.drift_update(snapshots(spark, sf), ema_alpha=ALPHA)
     return drift.select("step", "cluster_id", "state", r6("distance"), r6("speed"), "age", r6("ema_distance"), *xy("ema_direction", "ema"))
 
 
+# Steps in one trigger of the streamed form.
+STEPS = 1000
+
+
+@query("drift_stream", UPDATED)
+def _drift_stream(spark, sf):
+    """The same rows from a stream of whole snapshots, empty ones included, with its state between triggers."""
+    root = new_path(spark, "drift")
+    snaps = snapshots(spark, sf)
+    first, last = D.step_span(snaps)
+    maps = snaps.groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "centroid"))).alias("centroids"))
+    steps = spark.range(first, last + 1).select(F.col("id").alias("step"))
+    write_replay(steps.join(maps, "step", "left").select(
+        F.lit("all").alias("key"), F.col("step").cast("double").alias("ts"), "centroids", F.col("step").alias("seq"),
+        (F.floor((F.col("step") - first) / F.lit(STEPS)) + 1).cast("bigint").alias("batch_id")), f"{root}/in")
+    stream = read_replay(spark, f"{root}/in", "key string, ts double, centroids map<bigint, array<double>>, seq bigint")
+    track_drift(stream, ema_alpha=ALPHA).writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        F.col("ts").cast("bigint").alias("step"), "cluster_id", "state", r6("distance"), r6("speed"), "age", r6("ema_distance"),
+        *xy("ema_direction", "ema"))
+
+
 # Histories
 
 @query("last_n", f"""WITH {CLUSTERS} SELECT label, batch_id, size FROM
