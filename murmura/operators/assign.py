@@ -1,8 +1,9 @@
 """Assigning points to their nearest centre, and to the micro-cluster that can take them.
 
 The centres of a group travel as one array beside its points, so the nearest one is found
-row by row and no point-centre pair is laid out. Arrays hold at most ``CENTRES`` centres; a
-group with more is looked up array by array and the best of each is kept.
+row by row and no point-centre pair is laid out. Arrays hold at most ``CENTRES`` centres. More centres in up to
+three dimensions are searched through a tree of boxes; in more dimensions they are looked up array by array and the best of
+each is kept.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions.ordering import ordered_index
 from murmura.functions.vector import distance, v_add, v_norm
+from murmura.operators.boxes import low_dimensional, nearest_points
 from murmura.schema import NOISE
 
 CENTRES = 1024
@@ -59,6 +61,18 @@ def _best_of_arrays(df: DataFrame, point: Sequence[str], best: str) -> DataFrame
     return merged.select(*point, best, "__rest.*")
 
 
+def _through_tree(points: DataFrame, centres: DataFrame, keys: list[str], dims: int, centre: str, held: Sequence[str]) -> DataFrame:
+    """(keys, pt_id, __best): the nearest centre as struct of its distance ``d``, mc_id and ``held``; points without one are left out."""
+    near = nearest_points(points, keys, 1, "euclidean", dims, centres.select(
+        *keys, F.col("mc_id").alias("target_id"), F.col(centre).alias("features"))).withColumnRenamed("neighbour", "mc_id")
+    return near.join(centres.select(*keys, "mc_id", *held), [*keys, "mc_id"]).select(
+        *keys, "pt_id", F.struct(F.col("distance").alias("d"), "mc_id", *held).alias("__best"))
+
+
+def _cut_to(points: DataFrame, dims: int | None) -> DataFrame:
+    return points if dims is None else points.withColumn("features", F.slice("features", 1, dims))
+
+
 def nearest_centroid(
     points: DataFrame,
     centroids: DataFrame,
@@ -81,12 +95,17 @@ def nearest_centroid(
         "label", F.col("label") - 1
     )
     bare = points.drop("label", "mc_id", "distance")
-    joined = beside(bare, ranked, keys, ["mc_id", "centroid", "label"], max(1, bound))
-    found = joined.withColumn("__best", F.array_min(F.transform("centres", lambda c: F.struct(
-        distance(F.col("features"), c["centroid"], dims).alias("d"),
-        c["label"].alias("label"), c["mc_id"].alias("mc_id"),
-    )))).drop("centres")
-    if bound > CENTRES:
+    low = low_dimensional(_cut_to(bare, dims), "euclidean") if bound > CENTRES else None
+    if low:
+        best = _through_tree(_cut_to(bare, dims), ranked, keys, low, "centroid", ["label"])
+        found = bare.join(best, [*keys, "pt_id"], "left")
+    else:
+        joined = beside(bare, ranked, keys, ["mc_id", "centroid", "label"], max(1, bound))
+        found = joined.withColumn("__best", F.array_min(F.transform("centres", lambda c: F.struct(
+            distance(F.col("features"), c["centroid"], dims).alias("d"),
+            c["label"].alias("label"), c["mc_id"].alias("mc_id"),
+        )))).drop("centres")
+    if bound > CENTRES and not low:
         found = _best_of_arrays(found, [*keys, "pt_id"], "__best")
     near = F.col("__best").isNotNull()
     if max_distance is not None:
@@ -137,7 +156,7 @@ def absorb(
         bound = largest_group(state, keys)
     bare = points.drop("mc_id", "distance")
     placed = state.withColumn("centre", F.transform("cf1", lambda v: v / F.col("w")))
-    joined = beside(bare, placed, keys, ["mc_id", "status", "centre", "w", "cf1", "cf2"], max(1, bound))
+    low = low_dimensional(_cut_to(bare, dims), "euclidean") if bound > CENTRES else None
 
     def nearest(status: str) -> Column:
         return F.array_min(F.transform(
@@ -148,8 +167,16 @@ def absorb(
             ),
         ))
 
-    found = joined.withColumns({"__p": nearest("p"), "__o": nearest("o")}).drop("centres")
-    if bound > CENTRES:
+    if low:
+        found = bare
+        for status in ("p", "o"):
+            best = _through_tree(
+                _cut_to(bare, dims), placed.where(F.col("status") == status), keys, low, "centre", ["w", "cf1", "cf2"])
+            found = found.join(best.withColumnRenamed("__best", f"__{status}"), [*keys, "pt_id"], "left")
+    else:
+        joined = beside(bare, placed, keys, ["mc_id", "status", "centre", "w", "cf1", "cf2"], max(1, bound))
+        found = joined.withColumns({"__p": nearest("p"), "__o": nearest("o")}).drop("centres")
+    if bound > CENTRES and not low:
         rest = [c for c in bare.columns if c not in (*keys, "pt_id")]
         found = found.groupBy(*keys, "pt_id").agg(
             F.min("__p").alias("__p"), F.min("__o").alias("__o"), F.first(F.struct(*rest)).alias("__rest")

@@ -38,6 +38,8 @@ def with_blocks(points: DataFrame, keys: Sequence[str], block_rows: int) -> Data
     sizes = points.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("bigint").alias("blocks")
     )
+    if not keys:
+        return points.withColumn("blocks", F.lit(sizes.first()[0])).withColumn("block", hashed_block("pt_id", "blocks"))
     return points.join(sizes, list(keys)).withColumn("block", hashed_block("pt_id", "blocks"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmura.operators.blocks import BLOCK_ROWS, dealt, one_against_all, unordered_pairs
+from murmura.operators.boxes import low_dimensional, nearest_points
 from murmura.operators.components import components, spanning_forest
 from murmura.operators.hierarchy import label_forest, tree_labels
 from murmura.operators.kernels import METRICS, core_of, matrix, pairwise, spanning_edges
@@ -70,7 +71,10 @@ def neighbours(
     group_bound: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(keys, pt_id, neighbour, distance, rank): the k nearest others, ties by id."""
+    """(keys, pt_id, neighbour, distance, rank): the k nearest others, ties by id.
+
+    Points of up to three dimensions are searched through trees of boxes, others by pairs of blocks.
+    """
     keys = list(keys)
     rows = points.select(*keys, "pt_id", "features")
     number = T.DoubleType()
@@ -93,6 +97,10 @@ def neighbours(
     if _fits(group_bound, block_rows):
         return dealt(rows, keys).groupBy(*keys).applyInPandas(lambda pdf: nearest(pdf, pdf), out)
 
+    dims = low_dimensional(rows, metric)
+    if dims is not None:
+        return nearest_points(rows, keys, k, metric, dims)
+
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, targets = pdf[~pdf["is_target"]], pdf[pdf["is_target"]]
         return pd.DataFrame(columns=names) if asked.empty or targets.empty else nearest(asked, targets)

@@ -182,6 +182,30 @@ def _core_distance(spark, sf):
     return O.core_distances(featured(pts(spark, sf)), k=5, group_bound=BATCH).select("batch_id", "pt_id", r6("core"))
 
 
+ALL_NEAR = """d AS (SELECT p.pt_id, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM pts p JOIN pts q ON p.pt_id <> q.pt_id)"""
+
+
+@query("core_distance_all", f"WITH {PTS}, {ALL_NEAR} SELECT pt_id, round(list_max(min(d, 5)), 6) AS core FROM d GROUP BY 1")
+def _core_distance_all(spark, sf):
+    """All points as one group, searched through a tree of boxes."""
+    return O.core_distances(featured(pts(spark, sf)), [], k=5).select("pt_id", r6("core"))
+
+
+# Every fifth point is a centre, far more than fit an array.
+EVERY = 5
+
+
+@query("nearest_of_many", f"""WITH {PTS}, c AS (SELECT pt_id AS mc_id, x, y, row_number() OVER (ORDER BY pt_id) - 1 AS label FROM pts WHERE pt_id % {EVERY} = 0),
+d AS (SELECT p.pt_id, c.mc_id, c.label, sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) AS d FROM pts p, c WHERE p.pt_id % {EVERY} <> 0)
+SELECT pt_id, arg_min(label, (d, mc_id)) AS label, arg_min(mc_id, (d, mc_id)) AS mc_id, round(min(d), 6) AS distance FROM d GROUP BY 1""")
+def _nearest_of_many(spark, sf):
+    """Points without keys and their nearest of very many centres."""
+    points = featured(pts(spark, sf))
+    centres = points.where(F.col("pt_id") % EVERY == 0).select(F.col("pt_id").alias("mc_id"), F.col("features").alias("centroid"))
+    near = nearest_centroid(points.where(F.col("pt_id") % EVERY != 0), centres, dims=2)
+    return near.select("pt_id", "label", "mc_id", r6("distance"))
+
+
 @query("mutual_reach", f"""WITH {PTS}, {NEAR} SELECT DISTINCT n.batch_id, least(n.pt_id, n.other) AS a, greatest(n.pt_id, n.other) AS b,
 round(greatest(n.d, p.core, q.core), 6) AS w FROM near n JOIN core p ON n.batch_id = p.batch_id AND n.pt_id = p.pt_id
 JOIN core q ON n.batch_id = q.batch_id AND n.other = q.pt_id""")
