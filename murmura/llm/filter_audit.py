@@ -26,12 +26,8 @@ from murmura.functions.durable import cut_lineage
 from murmura.llm.rows import numbered
 from murmura.llm.text import gathered, held, slices, small_batches
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 FILTERS = "ABCDE"
-#: What a byte adds: a code point, and 2^32 for A to Z.
-_ADDS = np.ones(256, np.int64)
-_ADDS[0x80:0xC0] = 0
-_ADDS[65:91] += 1 << 32
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#$%&*|")] = True
 
@@ -56,14 +52,14 @@ def _shards(limit: int):
                 rows = np.concatenate([[0], np.cumsum(np.bincount(cells // n_words, minlength=part.n))])
                 raw = part.data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).digest() for a, b in itertools.pairwise(part.offs.tolist())]
-                added = np.concatenate([[0], np.cumsum(_ADDS[part.data])])[part.offs]
-                upper, points = np.diff(added) >> 32, np.diff(added) & 0xFFFFFFFF
-                symbols = np.zeros(part.n, bool)
-                symbols[part.doc_of(np.flatnonzero(_SYMBOLS[part.data]))] = True
+                # All three are rare, so their places are counted.
+                upper, inner, symbols = (np.bincount(part.doc_of(np.flatnonzero(flags)), minlength=part.n) for flags in (
+                    (part.data >= 65) & (part.data <= 90), (part.data & 0xC0) == 0x80, _SYMBOLS[part.data]))
+                points = np.diff(part.offs) - inner
                 ids, parts = (batch.column(k)[part.first: part.first + part.n] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number], pa.int64()), _row(ids, ids.type), _row(parts, parts.type), _row(digests, pa.binary()),
-                    _row(100 * upper > 2 * points, pa.bool_()), _row(symbols, pa.bool_()),
+                    _row(100 * upper > 2 * points, pa.bool_()), _row(symbols > 0, pa.bool_()),
                     _row(rows, pa.int32()), shut(cells % n_words), shut(counts),
                     _row(coded.dictionary.cast(pa.binary()), pa.binary()),
                 ], ["shard", "ids", "parts", "digests", "upper", "symbols", "row_ends", "cells", "counts", "words"])
