@@ -249,7 +249,8 @@ def dedup_lines(
         _answers_of(arrow, min_docs), f"block bigint, at array<int>, holders array<{kind}>")
     answers = cut_lineage(found.groupBy("block").agg(F.collect_list(F.struct("at", "holders")).alias("found")))
     release(keys, index)
-    return blocks.join(answers, "block", "left").select("ids", "shut", "sizes", "n_lines", "codes", "found").mapInArrow(
+    # One plan at every size: blocks are dealt by number.
+    return blocks.join(answers.hint("merge"), "block", "left").select("ids", "shut", "sizes", "n_lines", "codes", "found").mapInArrow(
         _cut, f"__doc {kind}, n_lines bigint, n_dropped bigint, kept string").withColumnRenamed("__doc", id_col)
 
 
