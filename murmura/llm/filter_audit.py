@@ -26,7 +26,7 @@ from murmura.functions.durable import cut_lineage
 from murmura.llm.rows import numbered
 from murmura.llm.text import gathered, held, slices, small_batches
 
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 14 << 20
 FILTERS = "ABCDE"
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#$%&*|")] = True
