@@ -26,7 +26,7 @@ from murmura.functions.durable import cut_lineage
 from murmura.llm.rows import numbered
 from murmura.llm.text import gathered, held, slices, small_batches
 
-SHARD_BYTES = 14 << 20
+SHARD_BYTES = 12 << 20
 FILTERS = "ABCDE"
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#$%&*|")] = True
@@ -47,8 +47,10 @@ def _shards(limit: int):
             for part in slices(batch.column(2), limit):
                 starts, ends, docs = part.words()
                 coded = held(part.data, starts, ends).dictionary_encode()
+                del starts, ends
                 n_words = max(1, len(coded.dictionary))
                 cells, counts = np.unique(docs * n_words + coded.indices.to_numpy(), return_counts=True)
+                del docs
                 rows = np.concatenate([[0], np.cumsum(np.bincount(cells // n_words, minlength=part.n))])
                 raw = part.data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).digest() for a, b in itertools.pairwise(part.offs.tolist())]
