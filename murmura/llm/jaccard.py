@@ -6,7 +6,8 @@ shingles in that order, so these lead them to common buckets. First every class
 the bucket's smallest one, and what links is contracted, so that a group of near copies costs comparisons in proportion to
 its size. Buckets that still hold several components become signature trees: leaves are classes, nodes hold the
 OR of token bitmaps, the range of set sizes and the first place of the bucket's shingle, and a dual traversal drops pairs of
-nodes whose largest possible overlap is too small. Its pairs are verified on the sets themselves.
+nodes whose largest possible overlap is too small. Pairs are verified on the sets themselves, in rounds: first the most promising
+partners of every class, then, in buckets that hold several components even so, more of them, at last all.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmura.functions.durable import cut_lineage
+from murmura.functions.durable import cut_lineage, release
 from murmura.llm.rows import text_of, WORD
 from murmura.llm.text import LOWER, mix, Rolling, shingles, signed, Slice, slices, small_batches
 from murmura.operators.components import components
@@ -31,9 +32,12 @@ LEAVES = 256
 FAN = 16
 #: Earlier buckets a class names beside each of its own, so that few pairs are found twice; never what is found.
 EARLIER = 8
+#: Partners that a class names in a pair of blocks, by rounds; at last all.
+PARTNERS = (4, 32, None)
+#: Bits of a node, and bits of a class, by which pairs of classes are judged.
 _BITS = 512
+_WIDE = 2048
 _STEP = 1.04
-_PACK = 5
 
 
 def _sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +78,10 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _bitmaps(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """A bitmap for every set, of at least two bits a shingle and _BITS bits."""
+    """A bitmap for every set, of at least four bits a shingle and _WIDE bits."""
     out, at = [], 0
     for n in sizes.tolist():
-        width = max(_BITS, 1 << (2 * n - 1).bit_length() if n else _BITS)
+        width = max(_WIDE, 1 << (4 * n - 1).bit_length() if n else _WIDE)
         flags = np.zeros(width, bool)
         flags[(hashes[at: at + n] % np.uint64(width)).astype(np.int64)] = True
         out.append(np.packbits(flags))
@@ -101,7 +105,7 @@ def _identified(size: int):
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(k)[part.first: part.first + part.n] for k in (0, 2)], pa.array(sizes, pa.int64()), pa.array(signed(ids)),
                     _listed(owner[some], signed(hashes[some]), part.n, pa.int64()),
-                    pa.array([_folded(w, _BITS // 8).tobytes() for w in wide], pa.binary()),
+                    pa.array([_folded(w, _WIDE // 8).tobytes() for w in wide], pa.binary()),
                     pa.array([w.tobytes() for w in wide], pa.binary()),
                 ], ["__doc", "__tag", "n", "set_id", "sample", "bits", "wide"])
 
@@ -147,7 +151,7 @@ def _shut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(size: int):
-    """Compressed texts to (set_id, n, the set as ascending 40-bit numbers)."""
+    """Compressed texts to (set_id, n, the set as ascending 64-bit numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -157,21 +161,17 @@ def _packed(size: int):
                 for part in slices(pa.array(texts, pa.binary()).cast(pa.string())):
                     owner, hashes = _sets(part, size)
                     sizes, ids = _identity(owner, hashes, part.n)
-                    short = (hashes >> np.uint64(64 - 8 * _PACK)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - _PACK:]
                     ends = np.cumsum(sizes)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(signed(ids)), pa.array(sizes, pa.int64()),
-                        pa.array([short[e - s: e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary()),
+                        pa.array([hashes[e - s: e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary()),
                     ], ["set_id", "n", "packed"])
 
     return run
 
 
 def _unpack(held) -> np.ndarray:
-    raw = np.frombuffer(held.as_buffer(), np.uint8).reshape(-1, _PACK)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - _PACK:] = raw
-    return wide.view(">u8").ravel()
+    return np.frombuffer(held.as_buffer(), np.uint64)
 
 
 def _linked(percent: int):
@@ -215,8 +215,8 @@ def _bounded(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(what bitmaps leave of the pairs, those of them that reach the similarity).
+def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, size: int, percent: int) -> DataFrame:
+    """Those of the pairs that reach the similarity.
 
     Only the texts of classes in pairs that are left are fetched, once a class.
     """
@@ -232,7 +232,9 @@ def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, kind: str, si
         _packed(size), "set_id bigint, n bigint, packed binary"))
     both = left.join(sets.select(F.col("set_id").alias("a"), F.col("packed").alias("pa")), "a").join(
         sets.select(F.col("set_id").alias("b"), F.col("packed").alias("pb")), "b")
-    return left, cut_lineage(both.select("a", "b", "pa", "pb").mapInArrow(_linked(percent), "a bigint, b bigint"))
+    links = cut_lineage(both.select("a", "b", "pa", "pb").mapInArrow(_linked(percent), "a bigint, b bigint"))
+    release(left, sets)
+    return links
 
 
 class _Tree:
@@ -243,8 +245,9 @@ class _Tree:
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, ids: np.ndarray, place: np.ndarray):
         self.order = order = np.lexsort((ids, n))
-        self.ids, self.comp = ids[order], comp[order]
-        level = (n[order], n[order], bits[order], bits[order], place[order])
+        self.ids, self.comp, self.n, self.wide = ids[order], comp[order], n[order], bits[order]
+        narrow = np.bitwise_or.reduce(self.wide.reshape(len(n), -1, _BITS // 64), axis=1)
+        level = (n[order], n[order], narrow, narrow, place[order])
         self.levels = [level]
         while len(level[0]) > 1:
             at = np.arange(0, len(level[0]), FAN)
@@ -280,8 +283,32 @@ def _met_before(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nd
     return met
 
 
-def _traversed(percent: int):
-    """Pairs of blocks of one bucket to the class pairs that no bound rules out."""
+def _likeness(left: _Tree, right: _Tree, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(most shingles shared, all shingles then) that the wide bitmaps of leaves a and b allow."""
+    shared = np.empty(len(a), np.int64)
+    for k in range(0, len(a), 1 << 14):
+        x, y = a[k: k + (1 << 14)], b[k: k + (1 << 14)]
+        one, two = left.wide[x], right.wide[y]
+        shared[k: k + len(x)] = np.minimum(
+            left.n[x] - np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64),
+            right.n[y] - np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64))
+    return shared, left.n[a] + right.n[b] - shared
+
+
+def _foremost(owner: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the first ``most`` of their owner in ``order``."""
+    by = order[np.argsort(owner[order], kind="stable")]
+    sorted_ = owner[by]
+    first = np.zeros(len(owner), bool)
+    first[by] = np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < most
+    return first
+
+
+def _traversed(percent: int, most: int | None):
+    """Pairs of blocks of one bucket to the class pairs that no bound rules out; with ``most``, to the most alike of each class.
+
+    Where some are left to a later round, the pair of blocks is named beside.
+    """
 
     def tree(block) -> _Tree:
         ids, comp, n, bits, place, earlier = (block.field(i) for i in range(6))
@@ -294,40 +321,57 @@ def _traversed(percent: int):
         held.earlier = named, given
         return held
 
+    def met(left: _Tree, right: _Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        x, y = len(left.levels) - 1, len(right.levels) - 1
+        a, b = (v.ravel() for v in np.meshgrid(np.arange(len(left.levels[x][0])), np.arange(len(right.levels[y][0])), indexing="ij"))
+        while True:
+            if same:
+                a, b = a[a <= b], b[a <= b]
+            fine = _possible(left.levels[x], right.levels[y], a, b, percent)
+            a, b = a[fine], b[fine]
+            if x == y == 0:
+                return a, b
+            # Both sides go down one level, to all children of each node pair.
+            if x:
+                x -= 1
+                kids = a[:, None] * FAN + np.arange(FAN)
+                fits = kids < len(left.levels[x][0])
+                b, a = np.repeat(b, fits.sum(axis=1)), kids[fits]
+            if y:
+                y -= 1
+                kids = b[:, None] * FAN + np.arange(FAN)
+                fits = kids < len(right.levels[y][0])
+                a, b = np.repeat(a, fits.sum(axis=1)), kids[fits]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found, later = [np.zeros((0, 2), np.int64)], []
             for row in range(batch.num_rows):
                 left, same = tree(batch.column(0)[row].values), batch.column(2)[row].as_py()
                 right = left if same else tree(batch.column(1)[row].values)
-                x, y = len(left.levels) - 1, len(right.levels) - 1
-                a, b = (v.ravel() for v in np.meshgrid(np.arange(len(left.levels[x][0])), np.arange(len(right.levels[y][0])), indexing="ij"))
-                while True:
-                    if same:
-                        a, b = a[a <= b], b[a <= b]
-                    fine = _possible(left.levels[x], right.levels[y], a, b, percent)
-                    a, b = a[fine], b[fine]
-                    if x == y == 0:
-                        break
-                    # Both sides go down one level, to all children of each node pair.
-                    if x:
-                        x -= 1
-                        kids = a[:, None] * FAN + np.arange(FAN)
-                        fits = kids < len(left.levels[x][0])
-                        b, a = np.repeat(b, fits.sum(axis=1)), kids[fits]
-                    if y:
-                        y -= 1
-                        kids = b[:, None] * FAN + np.arange(FAN)
-                        fits = kids < len(right.levels[y][0])
-                        a, b = np.repeat(a, fits.sum(axis=1)), kids[fits]
+                a, b = met(left, right, same)
                 new = left.comp[a] != right.comp[b]
                 a, b = a[new], b[new]
-                new = ~_met_before(left.earlier, right.earlier, a, b)
-                ids_a, ids_b = left.ids[a][new], right.ids[b][new]
-                out_a.append(np.minimum(ids_a, ids_b))
-                out_b.append(np.maximum(ids_a, ids_b))
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                shared, united = _likeness(left, right, a, b)
+                new = 100 * shared >= percent * united
+                new[new] = ~_met_before(left.earlier, right.earlier, a[new], b[new])
+                a, b, alike = a[new], b[new], shared[new] / united[new]
+                if most is not None and len(a) > most:
+                    order = np.lexsort((b, a, -alike))
+                    # In one block a class can be on either side.
+                    first = _foremost(a, order, most) | _foremost(b, order, most)
+                    if not first.all():
+                        later.append([batch.column(i)[row].as_py() for i in (3, 4, 5)])
+                    a, b = a[first], b[first]
+                ids = np.stack([left.ids[a], right.ids[b]], axis=1)
+                ids.sort(axis=1)
+                found.append(ids)
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = [None] * len(pairs)
+            yield pa.RecordBatch.from_arrays([
+                *[pa.array(pairs[:, i].tolist() + [None] * len(later), pa.int64()) for i in (0, 1)],
+                *[pa.array(none + [x[i] for x in later], pa.int64()) for i in range(3)],
+            ], ["a", "b", "s", "block", "block2"])
 
     return run
 
@@ -389,30 +433,45 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     near = (F.abs(F.col("set_id").bitwiseAND(255) - F.col("leader").bitwiseAND(255)) <= apart)
     stars = members.where((F.col("set_id") != F.col("leader")) & near).groupBy(
         F.col("leader").alias("a"), F.col("set_id").alias("b")).agg(F.count(F.lit(1)).alias("c")).select("a", "b")
-    pairs, links = _verified(stars, known, rows, kind, size, percent)
+    tried = cut_lineage(stars)
+    links = _verified(tried, known, rows, kind, size, percent)
     comps = cut_lineage(_component_of(known, links))
 
-    split = members.select("s", "set_id", "place").distinct().join(comps, "set_id")
-    split = cut_lineage(split)
+    split = cut_lineage(members.select("s", "set_id", "place").distinct().join(comps, "set_id"))
     mixed = cut_lineage(split.groupBy("s").agg(
         F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
         "c > 2 and lo <> hi").select("s", F.ceil(F.col("c") / LEAVES).alias("blocks")))
-    inside = cut_lineage(split.join(mixed, "s"))
+    inside = cut_lineage(split.drop("comp").join(mixed, "s"))
     # A class has no more buckets here than shingles. What two share outside of these is already linked or compared.
     leads = inside.groupBy("set_id").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("place", "s"))), 1, EARLIER).alias("lead"))
     earlier = F.transform(F.filter("lead", lambda x: x["place"] < F.col("place")), lambda x: x["s"])
-    inside = inside.join(leads, "set_id").withColumn("earlier", earlier).drop("lead").join(
-        known.select("set_id", "n", "bits"), "set_id")
-    nodes = cut_lineage(inside.groupBy("s", F.pmod(F.xxhash64("set_id"), "blocks").alias("block")).agg(
-        F.collect_list(F.struct("set_id", "comp", "n", "bits", "place", "earlier")).alias("held")))
-    other = nodes.select("s", F.col("block").alias("block2"), F.col("held").alias("held2"))
-    meeting = nodes.join(other, "s").where("block <= block2").select("held", "held2", (F.col("block") == F.col("block2")).alias("same"))
-    # Written once distinct: the optimizer would join what every bucket says of a pair.
-    found = cut_lineage(meeting.mapInArrow(_traversed(percent), "a bigint, b bigint").distinct())
-    more = found.join(pairs, ["a", "b"], "left_anti")
-    _, further = _verified(more, known, rows, kind, size, percent)
-    final = cut_lineage(_component_of(known, links.unionByName(further)))
+    inside = inside.join(leads, "set_id").select(
+        "s", "set_id", "place", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), earlier.alias("earlier"))
+    spent = [buckets, members, split, mixed]
+    asked = None
+    for most in PARTNERS:
+        leaves = inside if asked is None else inside.join(asked.select("s").distinct(), "s", "left_semi")
+        nodes = cut_lineage(leaves.join(comps, "set_id").join(known.select("set_id", "n", "bits"), "set_id").groupBy("s", "block").agg(
+            F.collect_list(F.struct("set_id", "comp", "n", "bits", "place", "earlier")).alias("held")))
+        other = nodes.select("s", F.col("block").alias("block2"), F.col("held").alias("held2"))
+        meeting = nodes.join(other, "s").where("block <= block2")
+        if asked is not None:
+            meeting = meeting.join(asked, ["s", "block", "block2"], "left_semi")
+        found = cut_lineage(meeting.select(
+            "held", "held2", (F.col("block") == F.col("block2")).alias("same"), "s", "block", "block2").mapInArrow(
+            _traversed(percent, most), "a bigint, b bigint, s bigint, block bigint, block2 bigint"))
+        # Written once distinct: the optimizer would join what every bucket says of a pair.
+        more = cut_lineage(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(_verified(more, known, rows, kind, size, percent))
+        tried = tried.unionByName(more)
+        comps = cut_lineage(_component_of(known, links))
+        asked = found.where("s is not null").select("s", "block", "block2")
+        spent += [nodes, found, more]
+        if not asked.limit(1).count():
+            break
+    final = comps
+    release(known, *spent)
 
     return classes.select("__doc", "__tag", "n", "set_id").join(final, "set_id", "left").withColumn(
         "comp", F.when(F.col("n") > 0, F.coalesce("comp", "set_id")))
