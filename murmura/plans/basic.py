@@ -314,7 +314,10 @@ def _log_read(spark, sf):
 
 
 @query("parse_metrics", f"""WITH {STATS} SELECT batch_id AS idx, 'online' AS model_name, round(noise_ratio, 6) AS noise_ratio,
-active_clusters, CAST(batch_id AS VARCHAR) AS batch_id FROM st""")
+active_clusters, CAST(batch_id AS VARCHAR) AS batch_id,
+CASE WHEN batch_id % 3 <> 0 THEN CAST(active_clusters AS DOUBLE) / 8 END AS silhouette_score,
+CASE WHEN batch_id > 0 THEN CAST(batch_id AS DOUBLE) / 4 END AS drift_magnitude,
+'batch ' || CAST(batch_id AS VARCHAR) AS timestamp, CAST(active_clusters AS DOUBLE) + 0.5 AS latency_ms FROM st""")
 def _parse_metrics(spark, sf):
     stats = pts(spark, sf).groupBy("batch_id").agg(
         F.avg((F.col("label") == -1).cast("double")).alias("noise_ratio"),
@@ -324,10 +327,12 @@ def _parse_metrics(spark, sf):
     record = F.struct(
         F.round("noise_ratio", 6).alias("noise_ratio"), F.when(odd, F.col("c")).alias("number_of_clusters"),
         F.when(~odd, F.col("c")).alias("active_clusters"), "batch_id",
+        F.when(F.col("batch_id") % 3 != 0, F.col("c") / 8).alias("silhouette_score"),
+        F.when(F.col("batch_id") > 0, F.col("batch_id") / 4).alias("drift_magnitude"),
+        F.concat(F.lit("batch "), F.col("batch_id").cast("string")).alias("timestamp"), (F.col("c") + F.lit(0.5).cast("double")).alias("latency_ms"),
     )
     payload = F.to_json(F.struct(F.create_map(F.lit("online"), record).alias("latest")), {"ignoreNullFields": "false"})
-    parsed = P.parse_latest_metrics(stats.select(F.col("batch_id").alias("idx"), payload.alias("payload")), keep=["idx"])
-    return parsed.select("idx", "model_name", "noise_ratio", "active_clusters", "batch_id")
+    return P.parse_latest_metrics(stats.select(F.col("batch_id").alias("idx"), payload.alias("payload")), keep=["idx"])
 
 
 @query("parse_centroids", f"""WITH {CLUSTERS}, r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY label) - 1 AS pos FROM clusters)
