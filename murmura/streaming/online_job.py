@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from murmura.functions.durable import folder_names
+from murmura.functions.durable import folder_names, remove
 from murmura.operators.assign import nearest_centroid
 from murmura.operators.base import Clusterer
 from murmura.operators.clusters import with_status
@@ -25,6 +25,7 @@ from murmura.operators.quality import batch_metrics
 from murmura.sources.sinks import append_batches, append_metrics, batch_statistics
 
 Sink = Callable[[DataFrame, int], None]
+TRIMMED = "trimmed"
 
 
 class OnlineJob:
@@ -39,10 +40,16 @@ class OnlineJob:
         keys: Sequence[str] = (),
         model_name: str = "online",
         metrics_sink: Sink | None = None,
+        dims: int = 2,
+        keep_versions: int = 3,
     ) -> None:
+        """``dims`` is the length of the points; the latest ``keep_versions`` states stay, so that a micro-batch can be repeated."""
+        if keep_versions < 2:
+            raise ValueError("keep_versions must be 2 at least: a repeated micro-batch starts from the state before it")
         self.spark, self.root, self.keys, self.model_name = spark, root, list(keys), model_name
         self.config = config or OnlineConfig()
-        self.factory = factory or (lambda cfg: OnlineClusterer(cfg, keys))
+        self.factory = factory or (lambda cfg: OnlineClusterer(cfg, keys, dims))
+        self.keep_versions = keep_versions
         self.clusterer = self.factory(self.config)
         self.metrics_sink = metrics_sink or (lambda df, _: append_metrics(df, f"{root}/metrics"))
 
@@ -81,13 +88,23 @@ class OnlineJob:
         return sorted(int(n[len("epoch="):]) for n in names if n.startswith("epoch="))
 
     def state(self, before: int | None = None, like: DataFrame | None = None) -> DataFrame:
-        """Latest state, or the latest below version ``before``."""
+        """Latest state, or the latest below version ``before``; an error where that one was removed."""
         versions = [v for v in self._versions() if before is None or v < before]
         if not versions:
+            if before and TRIMMED in folder_names(self.spark, self.state_root):
+                raise ValueError(f"the state before version {before} is no longer kept")
             return self.clusterer.empty_state(self.spark, like)
         # The stored types count: a key's type is the stream's.
         return self.spark.read.parquet(f"{self.state_root}/epoch={versions[-1]}")
 
+    def _trim(self, epoch_id: int) -> None:
+        """Remove states that no repeated micro-batch can ask for; a marker, written first, tells them from none."""
+        old = [v for v in self._versions() if v <= epoch_id][: -self.keep_versions]
+        if old and TRIMMED not in folder_names(self.spark, self.state_root):
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.state_root}/{TRIMMED}")
+        for version in old:
+            remove(self.spark, f"{self.state_root}/epoch={version}")
+
     def current_clusters(self) -> tuple[DataFrame, DataFrame]:
         """(active, decayed) clusters of the latest state."""
         rows = self.clusterer.clusters(self.state())
@@ -107,6 +124,7 @@ class OnlineJob:
             centres = with_status(clusters, "active").select(*self.keys, "mc_id", "centroid")
             labelled = nearest_centroid(batch, centres, self.keys)
             self._report(labelled, clusters, epoch_id)
+            self._trim(epoch_id)
         finally:
             batch.unpersist()
 

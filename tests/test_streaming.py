@@ -99,6 +99,51 @@ def test_numeric_keys_and_empty_batches(spark, tmp_path):
     assert read_metrics(spark, str(tmp_path / "out" / "metrics")).count() == 7
 
 
+class Sums:
+    """A clusterer whose state is one row: the number of points seen."""
+
+    def empty_state(self, spark, like=None):
+        return spark.createDataFrame([], "mc_id bigint, seen bigint")
+
+    def fit(self, batch):
+        return batch.select(F.lit(1).cast("bigint").alias("mc_id"), F.lit(1).cast("bigint").alias("seen"))
+
+    def update(self, state, batch):
+        return state.unionByName(self.fit(batch)).groupBy("mc_id").agg(F.sum("seen").alias("seen"))
+
+    def clusters(self, state):
+        return state.select(
+            "mc_id", F.lit("a-1").alias("id"), F.array(F.lit(0.0), F.lit(0.0)).alias("centroid"),
+            F.lit(3).alias("size"), F.lit(0.6).alias("density"), F.lit("active").alias("status"))
+
+
+def test_old_states_are_removed(spark, tmp_path):
+    job = OnlineJob(spark, str(tmp_path), factory=lambda cfg: Sums(), metrics_sink=lambda df, e: None, keep_versions=2)
+    points = stream_points(spark, 8)
+    for epoch in range(6):
+        job.process(points, epoch)
+        assert len(job._versions()) <= 2
+    assert job._versions() == [4, 5] and job.state().first()["seen"] == 48
+    # A repeated micro-batch starts from the state before it.
+    job.process(points, 5)
+    assert job._versions() == [4, 5] and job.state().first()["seen"] == 48
+    with pytest.raises(ValueError, match="no longer kept"):
+        job.state(3)
+    assert job.state(0).count() == 0
+    job.reset()
+    assert job.state(3).count() == 0
+    with pytest.raises(ValueError, match="keep_versions"):
+        OnlineJob(spark, str(tmp_path), keep_versions=1)
+
+
+def test_points_of_three_dimensions(spark, tmp_path):
+    points = stream_points(spark, 60).withColumn("features", F.concat("features", F.array(F.lit(1.0))))
+    job = OnlineJob(spark, str(tmp_path), OnlineConfig(n_samples_init=10), dims=3, metrics_sink=lambda df, e: None)
+    job.process(points, 0)
+    active, _ = job.current_clusters()
+    assert active.count() >= 2 and {len(r["centroid"]) for r in active.collect()} == {3}
+
+
 def test_injected_clusterer_and_sink(spark, tmp_path):
     class Fixed:
         def empty_state(self, spark, like=None):
