@@ -2,8 +2,8 @@
 
 Every micro-batch reads state version N - 1 and writes version N into a folder of its own, as do
 metrics and statistics, so a retried micro-batch overwrites its own output and nothing is
-counted twice. The configuration is part of the state path: another configuration starts from
-an empty state, and going back finds the old one.
+counted twice. The configuration is part of the state path: a job with another configuration starts from
+an empty state, one with an earlier configuration finds its state again; ``configure`` always begins anew.
 """
 
 from __future__ import annotations
