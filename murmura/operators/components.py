@@ -28,7 +28,7 @@ def components(
     if group_bound is not None:
         joined = _grouped(edges, keys)
     else:
-        joined = _star_rounds(edges, keys)
+        joined = star_rounds(edges, keys)
     return nodes.select(*keys, "node").join(joined, [*keys, "node"], "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -64,7 +64,7 @@ def _grouped(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.groupBy(*(keys or [F.lit(0)])).applyInPandas(join_up, out)
 
 
-def _star_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
+def star_rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Alternating star contraction: edges end up pointing every node at its smallest one."""
     current = cut_lineage(
         edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -112,7 +112,7 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         taken = picks.select(*keys, "a", "b", "w").distinct()
         chosen = taken if chosen is None else chosen.unionByName(taken)
         links = picks.select(*keys, F.col("c").alias("a"), F.col("other").alias("b"))
-        renamed = _star_rounds(links, keys)
+        renamed = star_rounds(links, keys)
         for side in ("ca", "cb"):
             live = live.join(
                 renamed.select(*keys, F.col("node").alias(side), F.col("component").alias("__new")), [*keys, side], "left"

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmura.operators.blocks import BLOCK_ROWS, dealt, one_against_all, unordered_pairs
+from murmura.operators.box_tree import box_tree
 from murmura.operators.boxes import low_dimensional, nearest_points
 from murmura.operators.components import components, spanning_forest
 from murmura.operators.hierarchy import label_forest, tree_labels
@@ -26,6 +27,8 @@ from murmura.operators.quality import batch_metrics, cluster_sizes
 from murmura.schema import NOISE
 
 SELECTION_METHODS = ("eom", "leaf")
+#: Blocks of a group from which on spanning trees go through trees of boxes.
+TREE_BLOCKS = 32
 
 
 def check_params(
@@ -179,7 +182,8 @@ def mst_edges(
     """(keys, a, b, w): minimum spanning tree of mutual reachability; plain distance for k = 0.
 
     A group of several blocks: each pair of blocks gives the tree of its own points, and the
-    tree of the union of those trees is the tree of the group.
+    tree of the union of those trees is the tree of the group. Where a group has more than ``TREE_BLOCKS``
+    blocks of points of up to three dimensions, edges are looked for through trees of boxes; the tree is the same.
     """
     keys = list(keys)
     rows = points.select(*keys, "pt_id", "features")
@@ -196,6 +200,10 @@ def mst_edges(
     if _fits(group_bound, block_rows):
         return dealt(rows, keys).groupBy(*keys).applyInPandas(lambda pdf: tree(pdf.sort_values("pt_id"), None), out)
 
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    dims = low_dimensional(rows, metric) if largest > TREE_BLOCKS * block_rows else None
+    if dims is not None:
+        return box_tree(rows, keys, k, metric, dims)
     if k > 0:
         core = core_distances(rows, keys, k, metric, None, block_rows)
         rows = rows.join(core, [*keys, "pt_id"])

@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from murmura.operators import assign, boxes
+from murmura.operators import assign, boxes, offline
 from murmura.operators.kernels import pairwise
-from murmura.operators.offline import core_distances, neighbours
+from murmura.operators.offline import core_distances, mst_edges, neighbours
 
 
 def clustered(n, dims, seed=1):
@@ -69,6 +69,29 @@ def test_nearest_targets(spark, monkeypatch, keys):
         assert got[name][0] == best[1] and got[name][1] == pytest.approx(best[0])
 
 
+@pytest.mark.parametrize(("dims", "metric", "keys", "k", "name"), [
+    (2, "euclidean", [], 5, "bigint"), (3, "chebyshev", ["g"], 0, "bigint"), (1, "manhattan", ["g"], 2, "string")])
+def test_spanning_tree(spark, monkeypatch, dims, metric, keys, k, name):
+    """Edge for edge the tree of the pairs of blocks, with places that hold hundreds of points and many equal weights."""
+    for constant, size in (("LEAF", 8), ("FAN", 4), ("AT_ONCE", 50)):
+        monkeypatch.setattr(boxes, constant, size)
+    frame = clustered(320, dims, 4)
+    frame = pd.concat([frame, pd.DataFrame({"g": [5, 6, 6], "pt_id": [9001, 9002, 9003], "features": [[0.0] * dims, [1.0] * dims, [3.0] * dims]})])
+    points = spark.createDataFrame(frame, "g int, pt_id bigint, features array<double>").withColumn("pt_id", F.col("pt_id").cast(name))
+    expected = mst_edges(points, keys, k, metric)
+    asked = []
+    built = offline.box_tree
+    monkeypatch.setattr(offline, "box_tree", lambda *a: asked.append(a) or built(*a))
+    monkeypatch.setattr(offline, "TREE_BLOCKS", 0)
+    got = mst_edges(points, keys, k, metric)
+    assert asked and got.schema.simpleString() == expected.schema.simpleString()
+    rows = [tuple(r) for r in got.collect()]
+    groups = frame["g"].nunique() if keys else 1
+    assert len(rows) == len(set(rows)) == len(frame) - groups
+    assert set(rows) == {tuple(r) for r in expected.collect()}
+    assert not mst_edges(points.limit(0), keys, k, metric).collect()
+
+
 def test_few_and_single_points(spark):
     points = spark.createDataFrame([(1, [0.0, -0.0]), (2, [3.0, 4.0]), (3, [0.0, 0.0])], "pt_id bigint, features array<double>")
     got = {(r["pt_id"], r["neighbour"]): (r["distance"], r["rank"]) for r in neighbours(points, [], 5).collect()}
