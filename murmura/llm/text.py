@@ -17,6 +17,9 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Modulus and base of a second polynomial: products of two residues fit 64 bits, and powers of two have no part in it.
+_PRIME = (1 << 31) - 1
+_BASE2 = 1_220_703_125
 _U = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -44,35 +47,60 @@ def mix(x: np.ndarray) -> np.ndarray:
 _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
+_powers2 = np.ones(1, np.uint64)
+_inverses2 = np.ones(1, np.uint64)
+
+
+def _residues(base: int, size: int) -> np.ndarray:
+    """base ** 0, 1, .. modulo _PRIME, by doubling."""
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:
+        more = min(have, size - have)
+        out[have: have + more] = out[:more] * _U(pow(base, have, _PRIME)) % _U(_PRIME)
+        have += more
+    return out
 
 
 def _grow(n: int) -> None:
-    global _powers, _inverses
+    global _powers, _inverses, _powers2, _inverses2
     if len(_powers) < n:
         size = max(n, 2 * len(_powers))
         _powers, _inverses = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
         _powers[0] = _inverses[0] = 1
         np.cumprod(_powers, out=_powers)
         np.cumprod(_inverses, out=_inverses)
+        _powers2, _inverses2 = _residues(_BASE2, size), _residues(pow(_BASE2, -1, _PRIME), size)
 
 
 class Rolling:
-    """Hash of any byte range of a buffer in constant time, as a polynomial over prefix sums."""
+    """Hash of any byte range of a buffer in constant time, as two polynomials over prefix sums.
+
+    One is taken modulo 2^64 and one modulo a prime: strings made to be equal under every odd base modulo 2^64 differ in the other.
+    """
 
     def __init__(self, data: np.ndarray):
         _grow(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * _powers[: len(data)], out=self.sums[1:])
+        self.more = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + _U(1)) * _powers2[: len(data)], out=self.more[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+        first = (self.sums[ends] - self.sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64)
+        return self._both(first, (self.more[ends] - self.more[starts]) % _U(_PRIME) * _inverses2[starts])
+
+    @staticmethod
+    def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix(first ^ (second % _U(_PRIME) * _U(_BASE)))
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` bytes from every position that has so many left."""
         n = len(self.sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * _inverses[:n])
+        first = (self.sums[width:] - self.sums[:n]) * _inverses[:n]
+        return self._both(first, (self.more[width:] - self.more[:n]) % _U(_PRIME) * _inverses2[:n])
 
 
 class Slice:
