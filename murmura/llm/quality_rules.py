@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.functions.durable import cut_lineage, release
 from murmura.llm.features import Profile, calibrate, fit, sigmoid
 from murmura.llm.text import slices, small_batches
 
@@ -33,28 +35,40 @@ class Scorer:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(target, place, text) to (target, place, slots, values)."""
+    """(target, place, tag, text) to (target, place, tag, slots, values)."""
     for batch in batches:
-        for part in slices(batch.column(2)):
+        for part in slices(batch.column(3)):
             held = Profile(part).vectors()
             span = slice(part.first, part.first + part.n)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0)[span], batch.column(1)[span],
+                *[batch.column(i)[span] for i in range(3)],
                 pa.array([s.astype(np.int32) for s, _ in held], pa.list_(pa.int32())),
                 pa.array([v.astype(np.float32) for _, v in held], pa.list_(pa.float32())),
-            ], ["target", "place", "slots", "values"])
+            ], ["target", "place", "tag", "slots", "values"])
 
 
 def fit_scorer(rows: DataFrame, sample: int, seed: int = 11) -> Scorer | None:
     """A scorer fitted on (target, place, text), at most ``sample`` rows; None without both classes.
 
-    ``place`` is a seeded hash; every fifth row by it calibrates. The vectors of the sample come to the
-    driver: each has at most DIM slots, so ``sample`` bounds their size.
+    ``place`` is a seeded hash; every fifth row by it calibrates; of equal places the smallest hashes of the text come first,
+    and where an id repeats, more than half of the sample from one side of 0.5 only where the other side has fewer. The
+    vectors of the sample alone come to the driver: each has at most DIM slots, so ``sample`` bounds their size.
     """
-    held = rows.mapInArrow(_vectors, "target double, place bigint, slots array<int>, values array<float>").toArrow()
+    tagged = rows.select("target", "place", F.xxhash64("text").alias("tag"), "text")
+    vectors = cut_lineage(tagged.mapInArrow(_vectors, "target double, place bigint, tag bigint, slots array<int>, values array<float>"))
+    sides = vectors.select((F.col("target") >= 0.5).alias("side")).groupBy("side").count().collect()
+    held = vectors
+    if sum(n for _, n in sides) > sample:
+        # Half of each side, and more of one only where the other has fewer.
+        most = {side: max(sample // 2, sample - sum(m for other, m in sides if other != side)) for side, _ in sides}
+        picked = [
+            vectors.where((F.col("target") >= 0.5) == F.lit(side)).orderBy("place", "tag").limit(most[side]) for side, _ in sorted(sides)]
+        held = reduce(DataFrame.unionByName, picked)
+    held = held.toArrow()
+    release(vectors)
     if not held.num_rows:
         return None
-    order = np.argsort(held["place"].to_numpy(), kind="stable")[:sample]
+    order = np.lexsort((held["tag"].to_numpy(), held["place"].to_numpy()))
     target = held["target"].to_numpy()[order]
     slots_, values_ = (held[c].combine_chunks() for c in ("slots", "values"))
     slots = [slots_[int(k)].values.to_numpy() for k in order]
