@@ -11,6 +11,7 @@ vectors are cut by length alone. What is left is verified by its exact integer p
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,17 +126,22 @@ def top_products(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all other rows for each row where ``query`` holds.
 
-    Score is the inner product of floor(scale * x); ties go to the smaller id. Rows with a null id, and vectors null, of another width
-    than most (the larger width on a tie), or with null or non-finite components take no part; of rows that share an id each is a candidate of
-    its own, and none meets its own id. Buckets and thresholds decide only what is skipped, never the answer.
+    Score is the inner product of floor(scale * x); ties go to the smaller id. Rows with a null id, and vectors null, empty or with null
+    or non-finite components take no part; vectors meet those of their own width, a search for each width (of rows of one id with several
+    widths, each width answers). Of rows that share an id each is a candidate of its own, and none meets its own id; one of them asks.
+    Products beyond 64 bits raise. Buckets and thresholds decide only what is skipped, never the answer.
     """
     whole = integer_vectors(rows, scale, id_col, vector_col)
-    widths = whole.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    spark = rows.sparkSession
-    if widths is None or not widths[0]:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    widths = sorted(w for (w,) in whole.select(F.size("v")).where(F.size("v") > 0).distinct().collect())
+    if not widths:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     flagged = integer_vectors(rows.withColumn(id_col, F.when(query, F.col(id_col))), scale, id_col, vector_col)
-    same = F.size("v") == widths[0]
+    found = [_of_width(whole, flagged, width, k, bucket, seeds) for width in widths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_width(whole: DataFrame, flagged: DataFrame, width: int, k: int, bucket: int, seeds: int) -> DataFrame:
+    same = F.size("v") == width
     vectors = whole.where(same).withColumn("norm2", _norm2(F.col("v"))).withColumn("less", -F.col("norm2"))
     vectors = cut_lineage(ordered_index(vectors, ["less", "id"], out="place", rows_per_bucket=4 * bucket).select(
         F.floor((F.col("place") - 1) / bucket).cast("bigint").alias("bucket"), "id", "v", "norm2"))
