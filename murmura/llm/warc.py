@@ -15,6 +15,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.text import small_batches
-from murmura.functions.durable import cut_lineage, new_path
+from murmura.functions.durable import cut_lineage, new_path, release
 
 GAP = 64 << 10
 RANGE = 8 << 20
@@ -38,22 +39,25 @@ def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    block = b"" if revisit else payload
+def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool, date: str) -> bytes:
+    """A record with an id of its own; the page's id and that of the page it revisits are fields of ours."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"X-Page-Id: {'' if page is None else page}",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head.append(f"WARC-Refers-To: <urn:page:{refers}>")
+        head.append(f"X-Refers-To-Page: {refers}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    head.append("Content-Type: application/http; msgtype=response")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path, stream, name, at = None, None, None, "", 0
         try:
@@ -67,7 +71,7 @@ def _writer(folder: str):
                         stream = files.open_output_stream(f"{path}/{name}", compression=None)
                     payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                     digest = digest_of(payload)
-                    record = _record(page.as_py(), url.as_py(), payload, digest, refers.as_py(), revisit.as_py())
+                    record = _record(page.as_py(), url.as_py(), payload, digest, refers.as_py(), revisit.as_py(), date)
                     pack = zlib.compressobj(5, zlib.DEFLATED, 31)
                     member = pack.compress(record) + pack.flush()
                     stream.write(member)
@@ -86,24 +90,34 @@ def _writer(folder: str):
 
 
 def write_archives(
-    pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, folder: str, revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    date: datetime | None = None,
 ) -> DataFrame:
     """Write a record per row of ``pages`` below ``folder``; returns the index (file, offset, length, url, digest).
 
     Of rows with equal payloads of at least ``revisit_bytes`` bytes those with the largest id are responses (a null id is the
-    smallest; rows that share that id are all responses), the others revisit it. A null html is empty.
+    smallest; rows that share that id are all responses), the others revisit it. A null html is empty. ``date`` is that of
+    the records, now by default.
     """
     small_batches(pages)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("html"),
         F.sha1(F.encode(payload, "UTF-8")).alias("sha"))
-    last = rows.groupBy("sha").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    large = F.octet_length("html") >= revisit_bytes
-    revisit = F.coalesce(large & ~F.col("page").eqNullSafe(F.col("refers")) & F.col("refers").isNotNull(), F.lit(False))
-    typed = rows.join(last, "sha", "left").select(
-        "page", "url", F.encode("html", "UTF-8").alias("html"), F.when(revisit, F.col("refers")).alias("refers"), revisit.alias("revisit"))
-    return cut_lineage(typed.mapInArrow(_writer(folder), _INDEX))
+    # Which page to revisit is settled on ids and digests; a common payload is dealt by page and URL where html is moved.
+    told = [F.coalesce("page", F.lit(0).cast("bigint")).alias("page0"), F.xxhash64("page", "url").alias("tag"), "sha"]
+    seen = cut_lineage(rows.where(F.octet_length("html") >= revisit_bytes).select("page", *told))
+    last = cut_lineage(seen.groupBy("sha").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1 and refers is not null").drop("n"))
+    again = cut_lineage(seen.join(last, "sha").where(~F.col("page").eqNullSafe(F.col("refers"))).select(
+        "page0", "tag", "sha", F.col("page").isNull().alias("void"), "refers").distinct())
+    named = rows.select("page", "url", "html", *told, F.col("page").isNull().alias("void"))
+    typed = named.join(again, ["page0", "tag", "sha", "void"], "left").select(
+        "page", "url", F.encode("html", "UTF-8").alias("html"), "refers", F.col("refers").isNotNull().alias("revisit"))
+    when = (date or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    index = cut_lineage(typed.mapInArrow(_writer(folder, when), _INDEX))
+    release(seen, last, again)
+    return index
 
 
 def coalesced(offsets: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -124,9 +138,8 @@ def _parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def _page(said: str) -> int | None:
-    number = said.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _page(said: str | None) -> int | None:
+    return int(said) if said else None
 
 
 def _reader(folder: str, with_payload: bool):
@@ -146,12 +159,12 @@ def _reader(folder: str, with_payload: bool):
                             begin = int(offsets[k]) - low
                             fields, block = _parse(held[begin: begin + int(lengths[k])])
                             digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                            if fields["WARC-Type"] == "response" and digest_of(block) != digest:
+                            payload = block.partition(b"\r\n\r\n")[2]
+                            if fields["WARC-Type"] == "response" and digest_of(payload) != digest:
                                 raise ValueError(f"damaged record in {name} at {offsets[k]}")
                             rows.append((
-                                _page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest,
-                                fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
-                                block if with_payload else None))
+                                _page(fields["X-Page-Id"]), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest,
+                                fields["WARC-Type"], _page(fields.get("X-Refers-To-Page")), payload if with_payload else None))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
                                 pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)],
@@ -167,7 +180,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     the full payload.
     """
     span = F.floor(F.col("offset") / RANGE)
-    dealt = index.repartition("file", span).sortWithinPartitions("file", "offset")
+    # Tasks by the bytes of the archives: those of the index say nothing.
+    held = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-held // (4 * RANGE)))
+    dealt = index.repartition(tasks, "file", span).sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(
         _reader(folder, with_payload), "page_id bigint, url string, payload_bytes bigint, payload_digest string,"
         " record_type string, refers_to bigint, payload binary")
