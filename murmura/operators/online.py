@@ -27,19 +27,24 @@ import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from murmura.functions.durable import cut_lineage
+from murmura.functions.durable import cut_lineage, new_path, release, remove
 from murmura.functions.scalar import decayed_weight, outlier_floor, prune_period
-from murmura.operators.assign import RADIUS_FORMS, absorb, squared_radius
+from murmura.operators.assign import RADIUS_FORMS, absorb, largest_group, squared_radius
 from murmura.operators.components import components
 from murmura.operators.offline import mst_edges
+from murmura.operators.online_run import CLASH, folded
 
 RINGS_PER_EPSILON = 8
 CLOCK_ID = -1
+#: Points of a stream folded in one task, and micro-clusters up to which that is done.
+RUN_ROWS = 1 << 18
+RUN_CLUSTERS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -282,6 +287,35 @@ class OnlineClusterer:
         floor = outlier_floor(now, F.col("t_created"), self.config.decay_factor, self.config.period)
         return F.when(F.col("status") == "p", F.col("w") >= self.config.core_weight).otherwise(F.col("w") >= floor)
 
+    def plain(self, points: DataFrame) -> Column:
+        """Whether a point has all that ``update_run`` asks for."""
+        far = 1e15 * self.config.epsilon
+        sound = F.col("pt_id").isNotNull() & (F.size("features") == self.dims) & F.forall("features", lambda v: F.abs(v) <= far)
+        for key in self.keys:
+            sound = sound & F.col(key).isNotNull()
+        if "t" in points.columns:
+            sound = sound & F.coalesce(F.abs(F.col("t").cast("double")) <= 1e15, F.lit(True))
+        return F.coalesce(sound, F.lit(False))
+
+    def update_run(self, state: DataFrame, points: DataFrame, batch: str = "batch_id") -> DataFrame:
+        """The state after all batches of ``points`` in turn, a task for each stream; a row CLASH where ``update`` has to do it."""
+        keys, cfg, dims, timed = self.keys, self.config, self.dims, "t" in points.columns
+        by, one = (keys, []) if keys else (["__all"], [F.lit(0).alias("__all")])
+        t = F.col("t").cast("double") if timed else F.lit(None).cast("double")
+        arrived = points.select(
+            *keys, *one, "pt_id", F.col("features").cast("array<double>").alias("features"), t.alias("t"), F.col(batch).alias("__b"))
+        out = self.state_schema(points)
+        columns = out.fieldNames()[len(keys):]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = folded(left, right, cfg, dims, timed, RINGS_PER_EPSILON, CLOCK_ID)
+            rows, given = len(found["mc_id"]), left if left.num_rows else right
+            return pa.table(
+                [*[pa.repeat(given[k][0], rows) for k in keys], *[pa.array(found[c], right.schema.field(c).type) for c in columns]],
+                names=out.fieldNames())
+
+        return arrived.groupBy(*by).cogroup(state.select(*state.columns, *one).groupBy(*by)).applyInArrow(run, out)
+
     # --- reading a state ---
 
     def clusters(self, state: DataFrame) -> DataFrame:
@@ -320,8 +354,41 @@ def to_clusters(faded: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def run_batches(clusterer: OnlineClusterer, points: DataFrame, first: int, last: int, batch: str = "batch_id") -> DataFrame:
-    """State after the batches ``first`` to ``last`` in turn, cut from its lineage after each."""
-    state = clusterer.empty_state(points.sparkSession, points)
+    """State after the batches ``first`` to ``last`` in turn, cut from its lineage.
+
+    Batches of less than RUN_ROWS points a stream are folded in runs of several, each run a job that reads its own folder. Larger
+    batches, and points that ``update`` alone can judge (coordinates missing or without bound, no id or key), are taken one by one.
+    """
+    keys, spark = clusterer.keys, points.sparkSession
+    state = clusterer.empty_state(spark, points)
+    asked = points.where(F.col(batch).between(first, last))
+    most, odd, begun = asked.groupBy(*keys, batch).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~clusterer.plain(points)).alias("odd")
+    ).agg(F.max("n"), F.sum("odd"), F.min(batch)).first()
+    named = isinstance(points.schema["pt_id"].dataType, T.LongType)
+    if not most or most > RUN_ROWS or odd or not named or (begun > first and not keys):
+        return _one_by_one(clusterer, state, points, first, last, batch)
+    per_run = RUN_ROWS // most
+    path = new_path(spark, "runs")
+    run = F.floor((F.col(batch) - first) / F.lit(per_run)).cast("bigint")
+    asked.withColumn("__run", run).repartition(*keys, "__run").write.partitionBy("__run").parquet(path)
+    runs = spark.read.schema(T.StructType([*points.schema.fields, T.StructField("__run", T.LongType())])).parquet(path)
+    largest = 0
+    for start in range(first, last + 1, per_run):
+        here = runs.where(F.col("__run") == (start - first) // per_run).drop("__run")
+        new = cut_lineage(clusterer.update_run(state, here, batch)) if largest <= RUN_CLUSTERS else None
+        if new is not None and new.where(F.col("status") == CLASH).limit(1).count():
+            release(new)
+            new = None
+        if new is None:
+            new = _one_by_one(clusterer, state, here, start, min(last, start + per_run - 1), batch)
+        release(state)
+        state, largest = new, largest_group(new, keys)
+    remove(spark, path)
+    return state
+
+
+def _one_by_one(clusterer: OnlineClusterer, state: DataFrame, points: DataFrame, first: int, last: int, batch: str) -> DataFrame:
     for number in range(first, last + 1):
         state = cut_lineage(clusterer.update(state, points.where(F.col(batch) == number)))
     return state

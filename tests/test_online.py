@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from murmura.functions.durable import cut_lineage
 from murmura.operators.assign import absorb
 from murmura.operators.drift import per_cluster_drift
-from murmura.operators.online import OnlineClusterer, OnlineConfig, macro_clusters
+from murmura.operators import online
+from murmura.operators.online import OnlineClusterer, OnlineConfig, macro_clusters, run_batches
 
 CFG = OnlineConfig(epsilon=0.5, n_samples_init=30, stream_speed=10, decay_factor=0.05)
 
@@ -145,6 +146,59 @@ def test_epsilon_holds_wherever_the_origin_is(spark):
         clusterer.update(state, points.withColumn("features", F.array(F.lit(0.0), F.lit(0.0), F.lit(9.0)))).count()
 
 
+def shown(state):
+    """Rows of a state without what depends on the order of sums, and the sums."""
+    rows = sorted(state.collect(), key=lambda r: (r["k"], r["status"], r["mc_id"]))
+    return [(r["k"], r["status"], r["mc_id"], r["n"], r["t_created"], r["t_last"]) for r in rows], [
+        v for r in rows for v in (r["w"], *r["cf1"], *r["cf2"])]
+
+
+def test_runs_of_batches_against_updates(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, start = [], 0
+    for key, sizes in {"a": [20, 30, 90, 0, 60, 25, 70], "b": [10, 12, 4, 5, 0, 0, 3], "c": [1, 0, 2, 0, 0, 3, 0]}.items():
+        for b, n in enumerate(sizes):
+            xy = np.array([(-2.0, 0.0), (2.0, 0.5)])[rng.integers(0, 2, n)] + rng.normal(0, 0.6, (n, 2))
+            rows += [(key, b + 3, start + i, [float(v) for v in p], float(40 * b + i // 9) if i % 7 else None) for i, p in enumerate(xy)]
+            start += n
+    timed = spark.createDataFrame(rows, "k string, batch_id bigint, pt_id bigint, features array<double>, t double").cache()
+    calls = []
+    plain = OnlineClusterer.update
+    monkeypatch.setattr(OnlineClusterer, "update", lambda *a: calls.append(1) or plain(*a))
+    cfg = OnlineConfig(epsilon=0.5, n_samples_init=30, stream_speed=10, decay_factor=0.05)
+    for points in (timed, timed.drop("t")):
+        clusterer = OnlineClusterer(cfg, ["k"])
+        expected = clusterer.empty_state(spark, points)
+        for b in range(3, 10):
+            expected = cut_lineage(clusterer.update(expected, points.where(F.col("batch_id") == b)))
+        keys, sums = shown(expected)
+        assert {"p", "o", "buffer", "clock"} == {k[1] for k in keys}
+        for rows_at_once in (1 << 18, 200):
+            monkeypatch.setattr(online, "RUN_ROWS", rows_at_once)
+            calls.clear()
+            mine, totals = shown(run_batches(clusterer, points, 3, 9))
+            # One job a run, none a batch.
+            assert not calls and mine == keys and totals == pytest.approx(sums)
+    # Larger batches, and points without a coordinate, are for the update.
+    monkeypatch.setattr(online, "RUN_ROWS", 80)
+    assert shown(run_batches(clusterer, points, 3, 9))[0] == keys and len(calls) == 7
+    monkeypatch.setattr(online, "RUN_ROWS", 1 << 18)
+    calls.clear()
+    lost = points.withColumn("features", F.when(F.col("pt_id") != 4, F.col("features")).otherwise(F.array(F.lit(None).cast("double"), F.lit(1.0))))
+    run_batches(clusterer, lost, 3, 4)
+    assert len(calls) == 2
+
+
+def test_a_run_with_one_name_twice_is_left_to_updates(spark):
+    rows = [("k", 1, 5, [0.0, 0.0]), ("k", 1, 6, [0.1, 0.0]), ("k", 2, 5, [9.0, 9.0]), ("k", 2, 7, [9.1, 9.0])]
+    points = spark.createDataFrame(rows, "k string, batch_id bigint, pt_id bigint, features array<double>").cache()
+    clusterer = OnlineClusterer(OnlineConfig(epsilon=0.5, n_samples_init=1), ["k"])
+    expected = clusterer.empty_state(spark, points)
+    for b in (1, 2):
+        expected = cut_lineage(clusterer.update(expected, points.where(F.col("batch_id") == b)))
+    assert shown(run_batches(clusterer, points, 1, 2)) == shown(expected)
+
+
 def scenario_batches():
     """Four streams: steady, drifting, a cluster comes and another goes, growing noise."""
     def batch(rng, centres, per, noise):
