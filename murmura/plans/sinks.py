@@ -52,15 +52,16 @@ CAST(floor((batch_id - 1) / {PER_TRIGGER}) AS BIGINT) AS trigger_id FROM pts GRO
 def _replay_stream(spark, sf):
     """The table replayed as a stream, some batches per trigger, in order; statistics per batch."""
     root = new_path(spark, "replay")
-    write_replay(pts(spark, sf).select("pt_id", "batch_id"), f"{root}/in")
+    write_replay(pts(spark, sf).select("pt_id", "batch_id"), f"{root}/in", PER_TRIGGER)
     schema = T.StructType([T.StructField("pt_id", T.LongType()), T.StructField("batch_id", T.LongType())])
 
     def summarise(batch, epoch):
-        batch.groupBy("batch_id").agg(
+        batch.coalesce(1).groupBy("batch_id").agg(
             F.count(F.lit(1)).alias("n_samples"), F.min("pt_id").alias("first_id"), F.max("pt_id").alias("last_id")
         ).withColumn("trigger_id", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
 
-    stream = read_replay(spark, f"{root}/in", schema, PER_TRIGGER)
+    # A trigger is one file of PER_TRIGGER batches of BATCH points, so its sums need no other task.
+    stream = read_replay(spark, f"{root}/in", schema)
     stream.writeStream.foreachBatch(summarise).option("checkpointLocation", f"{root}/check").trigger(
         availableNow=True
     ).start().awaitTermination()

@@ -86,6 +86,16 @@ def test_replay_job_metrics_and_state(spark, tmp_path):
     assert OnlineJob(spark, root, OnlineConfig(n_samples_init=100)).state().count() == 0
 
 
+def test_batches_of_a_trigger_in_one_file(spark, tmp_path):
+    points = fixed_batches(stream_points(spark, 65), 10, ["pt_id"])
+    assert write_replay(points, str(tmp_path / "in"), 3) == 3
+    order = []
+    read_replay(spark, str(tmp_path / "in"), POINT).writeStream.foreachBatch(
+        lambda batch, epoch: order.append((epoch, sorted({r[0] for r in batch.select("batch_id").collect()}), batch.count()))
+    ).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert order == [(0, [1, 2, 3], 30), (1, [4, 5, 6], 30), (2, [7], 5)]
+
+
 def test_numeric_keys_and_empty_batches(spark, tmp_path):
     points = stream_points(spark, 300).select((F.col("pt_id") % 3).alias("k"), "pt_id", "features")
     job = OnlineJob(spark, str(tmp_path / "out"), OnlineConfig(n_samples_init=10), keys=["k"])
