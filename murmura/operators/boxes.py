@@ -162,26 +162,30 @@ def descended(
     nodes out, and a column ``bound`` of ``asked`` is a limit known before.
     """
     keys, by = list(keys), list(by)
-    box = [c for c in asked.columns if c not in by]
-    width = (levels[-1].agg(F.max("node")).first()[0] or 0) + 1
-    pairs = asked.withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))))
+    box = [c for c in asked.columns if c not in by and c != bound]
     inf = F.lit(float("inf"))
+    pairs = asked.select(*by, *box, (F.col(bound) if bound else inf).alias("__limit"), F.lit(0).cast("bigint").alias("__up"))
     spent: DataFrame | None = None
     for depth in range(len(levels) - 1, -1, -1):
-        met = pairs.join(levels[depth], [*keys, "node"])
+        # A node brings those below it, so a pair is moved once for all of them, and what lies beyond the limit known so far is not moved on.
+        fields = [c for c in levels[depth].columns if c not in keys]
+        below = levels[depth].withColumn("__up", F.floor(F.col("node") / F.lit(FAN))).groupBy(*keys, "__up").agg(
+            F.collect_list(F.struct(*fields)).alias("__below"))
+        met = pairs.join(below, [*keys, "__up"]).select(*by, *box, "__limit", F.explode("__below").alias("__node")).select(
+            *by, *box, "__limit", "__node.*")
         if fits is not None:
             met = met.where(fits)
-        met = met.select(*by, *box, F.struct(most.alias("most"), "node", least.alias("least"), enough.alias("c")).alias("e"))
-        held = met.groupBy(*by, *box).agg(F.sort_array(F.collect_list("e")).alias("all"))
+        met = met.select(*by, *box, "__limit", F.struct(most.alias("most"), "node", least.alias("least"), enough.alias("c")).alias("e")).where(
+            F.col("e.least") <= F.col("__limit"))
+        held = met.groupBy(*by, *box, "__limit").agg(F.sort_array(F.collect_list("e")).alias("all"))
         start = F.struct(F.lit(0).cast("bigint").alias("seen"), inf.alias("at"))
         reach = F.aggregate("all", start, lambda s, e: F.when(s["seen"] >= need, s).otherwise(F.struct(
             (s["seen"] + e["c"]).alias("seen"), F.when(s["seen"] + e["c"] >= need, e["most"]).otherwise(inf).alias("at"))))["at"]
-        limit = F.least(reach, F.col(bound)) if bound else reach
         # Distances of boxes and of points may differ in their last digits.
-        kept = held.withColumn("__limit", limit * (1 + 1e-9)).select(
-            *by, *box, F.explode(F.filter("all", lambda e: e["least"] <= F.col("__limit"))).alias("e"))
+        kept = held.withColumn("__limit", F.least(reach * (1 + 1e-9), F.col("__limit"))).select(
+            *by, *box, "__limit", F.explode(F.filter("all", lambda e: e["least"] <= F.col("__limit"))).alias("e"))
         if depth:
-            kept = kept.select(*by, *box, F.explode(F.sequence(F.col("e.node") * FAN, F.col("e.node") * FAN + FAN - 1)).alias("node"))
+            kept = kept.select(*by, *box, "__limit", F.col("e.node").alias("__up"))
         else:
             kept = kept.select(*by, F.col("e.node").alias("node"))
         kept = cut_lineage(kept)
@@ -191,6 +195,17 @@ def descended(
     return pairs
 
 
+def around(asked: DataFrame, levels: list[DataFrame], keys: Sequence[str], need: int, most: Column) -> DataFrame:
+    """``asked`` with ``__bound`` in place of ``__own``, the leaf it comes from: how far that leaf, or the node above it, is at most if it holds enough."""
+    asked = asked.withColumn("__bound", F.lit(float("inf")))
+    for depth, nodes in enumerate(levels[:2]):
+        extra = [c for c in nodes.columns if c not in (*keys, "node")]
+        asked = asked.withColumn("__at", F.floor(F.col("__own") / F.lit(FAN ** depth))).join(
+            nodes.withColumnRenamed("node", "__at"), [*keys, "__at"], "left").withColumn(
+            "__bound", F.least("__bound", F.when(F.col("n") >= need, most * (1 + 1e-9)))).drop("__at", *extra)
+    return asked.drop("__own")
+
+
 def _points(table: pa.Table, dims: int, names: Sequence[str]) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
     """(ids, coordinates, other columns) of rows that hold lists of points."""
     table = table.combine_chunks()
@@ -234,9 +249,11 @@ def nearest_points(
     levels = levels_of(boxed(few, [*names, "node"], dims), names, dims)
     leaves = cut_lineage(listed(few, [*names, "node"], dims, "target_id"))
     asking = numbered.where(F.col("pt_id").isNotNull())
-    boxes = boxed(asking, [*names, "__s"], dims).select(*names, "__s", *[F.col(c).alias(f"q{c}") for c in _sides(dims)])
+    boxes = boxed(asking, [*names, "__s"], dims, F.min("node").alias("__own")).select(
+        *names, "__s", "__own", *[F.col(c).alias(f"q{c}") for c in _sides(dims)])
     least, most = apart(dims, metric)
-    pairs = descended(cut_lineage(boxes), levels, [*names, "__s"], names, k + 1, least, most, F.col("n"))
+    near = cut_lineage(around(boxes, levels, names, k + 1, most))
+    pairs = descended(near, levels, [*names, "__s"], names, k + 1, least, most, F.col("n"), bound="__bound")
     block = F.floor(F.col("__s") / F.lit(ASKED)).alias("__q")
     found = pairs.select(*names, block, "node").distinct().join(leaves, [*names, "node"])
     asked = listed(asking.withColumn("__q", block), [*names, "__q"], dims, "pt_id")

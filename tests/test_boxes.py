@@ -115,6 +115,25 @@ def test_candidates_grow_with_the_points(spark, monkeypatch):
     assert met[48_000] < 64 and met[48_000] < 1.5 * met[16_000]
 
 
+def test_few_pairs_go_from_level_to_level(spark, monkeypatch):
+    """A block goes on with the nodes it may need, not with all that lies below them."""
+    for name, size in (("LEAF", 16), ("BLOCK", 16)):
+        monkeypatch.setattr(boxes, name, size)
+    n, moved, cut = 6_000, [], boxes.cut_lineage
+
+    def counted(rows):
+        out = cut(rows)
+        if "ql0" in out.columns and {"node", "__up"} & set(out.columns):
+            moved.append(out.count() * boxes.BLOCK / n)
+        return out
+
+    monkeypatch.setattr(boxes, "cut_lineage", counted)
+    xs = np.random.default_rng(3).uniform(0, 1, (n, 2))
+    points = spark.createDataFrame(pd.DataFrame({"pt_id": np.arange(n), "features": xs.tolist()}), "pt_id bigint, features array<double>")
+    assert neighbours(points, [], 5).count() == 5 * n
+    assert moved and max(moved) < 100, moved
+
+
 @pytest.mark.parametrize("keys", [[], ["g"]])
 def test_assignment_to_very_many_centres(spark, monkeypatch, keys):
     """Beyond ``CENTRES`` centres the tree answers what the arrays answer."""
